@@ -24,6 +24,12 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from tabveil.llm import packing
+
+    return packing.packed(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
