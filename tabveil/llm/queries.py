@@ -24,6 +24,12 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op1_substring(spark: SparkSession, folder: str) -> DataFrame:
+    from tabveil.llm import substring
+
+    return substring.without_repeats(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tabveil.llm import packing
 
