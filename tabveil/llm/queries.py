@@ -30,6 +30,12 @@ def op1_substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring.without_repeats(table(spark, folder, "documents"))
 
 
+def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    from tabveil.llm import neardup
+
+    return neardup.clusters(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tabveil.llm import packing
 
