@@ -32,8 +32,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
-    """A selection under fixed names, so that extra or clashing columns of df do no harm: only(df, text="body")."""
-    return df.select(*[F.col(f"`{v}`").alias(k) for k, v in columns.items()])
+    """A selection under fixed names, so that extra or clashing columns of df do no harm: only(df, text="body").
+
+    What has the name already stays a plain column: exchanges of it are then equal and can be shared.
+    """
+    return df.select(*[F.col(f"`{v}`") if k == v else F.col(f"`{v}`").alias(k) for k, v in columns.items()])
+
+
+def whole_number(df: DataFrame, column: str) -> DataFrame:
+    """df with the column as BIGINT."""
+    return df if dict(df.dtypes)[column] == "bigint" else df.withColumn(column, F.col(column).cast("long"))
 
 
 def even_keys(spark: SparkSession, n: int) -> list[int]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import even_keys, only, partitions
+from tabveil.llm.common import even_keys, only, partitions, whole_number
 from tabveil.llm.words import U, Words, pieces, runs, windows
 
 _PACKED = ["bucket", "docs", "keys", "counts", "gaps", "hashes"]
@@ -104,7 +104,7 @@ def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 4_000_000) -> Dat
     """(doc_id, key, text, places): each row of docs with the first words of its repeats (null: none). key: hash of the text."""
     buckets, block = partitions(docs.sparkSession), span // 2
     keys = np.array(even_keys(docs.sparkSession, buckets), np.int32)
-    plain = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    plain = whole_number(only(docs, doc_id="doc_id", text="text"), "doc_id").select("doc_id", F.xxhash64("text").alias("key"), "text")
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text", part_bytes):
