@@ -6,8 +6,8 @@ that each is an order of whole signatures. Classes whose first `depth` values ag
 region, candidates are
 
 - all pairs, in a region of up to `near` + 1 classes, which is nearly every one;
-- else the `near` // 2 neighbours before each class (they have the longest common prefixes), and the first class of
-  the longer and longer prefixes that it shares, so that the depth follows how crowded the region is.
+- else the neighbour before each class (it has the longest common prefix), the region's first class, and the first
+  class of the longest prefix that it shares with any before it, so that the depth follows how crowded the region is.
 
 The sets' sizes and the share of equal minima rule out most pairs that cannot be links. Of the others, each class's
 `best` are compared on the full sets first; then, round by round, the pairs that still lie between two components.
@@ -115,15 +115,11 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deepe
                     region, last, leaders, seen = r, [own], [own] * (deeper + 1), 1
                     continue
                 seen += 1
-                # Up to near + 1 classes: all before it; then the nearer ones, and the leaders.
-                for x in last if seen <= near + 1 else last[-(near // 2) :]:
+                # Up to near + 1 classes: all before it; then the nearest, and the first of the region and of the longest shared prefix.
+                shared = [j for j, x in enumerate(leaders) if x[2][: 4 * j] == rest[: 4 * j]][-1]
+                for x in last if seen <= near + 1 else dict.fromkeys([last[-1], leaders[0], leaders[shared]]):
                     pair(own, x)
-                if seen > near + 1:
-                    for x in dict.fromkeys(leaders):
-                        shared = next((j for j in range(deeper) if x[2][4 * j : 4 * j + 4] != rest[4 * j : 4 * j + 4]), deeper)
-                        if shared >= leaders.index(x):
-                            pair(own, x)
-                leaders = [x if x[2][: 4 * j] == rest[: 4 * j] else own for j, x in enumerate(leaders)]
+                leaders = [x if j <= shared else own for j, x in enumerate(leaders)]
                 last = [*last[-(near - 1) :], own]
             if len(us) > 20000:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
