@@ -6,11 +6,13 @@ that each is an order of whole signatures. Classes whose first `depth` values ag
 region, candidates are
 
 - all pairs, in a region of up to `near` + 1 classes, which is nearly every one;
-- else the neighbour before each class (it has the longest common prefix), the region's first class, and the first
+- else the two neighbours before each class (they have the longest common prefixes), the region's first class, and the first
   class of the longest prefix that it shares with any before it, so that the depth follows how crowded the region is.
 
 The sets' sizes and the share of equal minima rule out most pairs that cannot be links. Of the others, each class's
-`best` are compared on the full sets first; then, round by round, the pairs that still lie between two components.
+`best` are compared on the full sets first; then, round by round, the pairs that still lie between two components,
+and each class that met a crowded component in a region with that component's hubs: those of its classes whose
+signatures agree most with its commonest minima, as the text that all are edits of would.
 So every candidate is either compared or joins what is joined already, and no link is lost for a limit.
 
 Two documents at the threshold itself meet in some region with probability 1 - (1 - 0.75**3)**20 > 0.99998.
@@ -117,7 +119,7 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deepe
                 seen += 1
                 # Up to near + 1 classes: all before it; then the nearest, and the first of the region and of the longest shared prefix.
                 shared = [j for j, x in enumerate(leaders) if x[2][: 4 * j] == rest[: 4 * j]][-1]
-                for x in last if seen <= near + 1 else dict.fromkeys([last[-1], leaders[0], leaders[shared]]):
+                for x in last if seen <= near + 1 else dict.fromkeys([*last[-2:], leaders[0], leaders[shared]]):
                     pair(own, x)
                 leaders = [x if j <= shared else own for j, x in enumerate(leaders)]
                 last = [*last[-(near - 1) :], own]
@@ -152,12 +154,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = 5, threshold: int =
     return y.mapInArrow(judge, "u long, v long").distinct()
 
 
-def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3, rounds: int = 20) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
-    signed = written(signatures(docs, size), "signatures")
-    classes = written(signed.where("doc_id is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"), F.min("n_shingles").alias("n_shingles")), "classes")
-    pairs = candidates(classes, threshold=threshold)
-    # The share of equal minima, from both signatures; 0.15 below the threshold is over two and a half standard deviations.
+def hubs(classes: DataFrame, found: DataFrame, least: int = 9, top: int = 8) -> DataFrame:
+    """(component, hub): of each component of `least` classes or more, the `top` whose signatures agree most with its commonest minima."""
+    member = classes.select(F.col("doc_id").alias("u"), "signature").join(found, "u", "left").withColumn("component", F.coalesce("component", "u"))
+    crowded = member.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
+    values = F.transform(F.sequence(F.lit(0), F.expr("length(signature) div 4 - 1")), lambda i: F.hex(F.substring("signature", i * 4 + 1, F.lit(4))))
+    rows = member.join(crowded, "component").select("component", "u", F.posexplode(values).alias("place", "value"))
+    common = rows.groupBy("component", "place", "value").agg(F.count("*").alias("n")).groupBy("component", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
+    agree = rows.join(common, ["component", "place", "value"]).groupBy("component", "u").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "u"))
+    return agree.withColumn("rank", rank).where(F.col("rank") <= top).select("component", F.col("u").alias("hub"))
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(u, v, share): the pairs whose signatures agree in `least` of the minima or more."""
     sign = classes.select(F.col("doc_id").alias("id"), "signature")
     met = pairs.join(sign, F.col("u") == F.col("id")).select("u", "v", F.col("signature").alias("x")).join(sign, F.col("v") == F.col("id")).select("u", "v", "x", F.col("signature").alias("y"))
 
@@ -166,18 +176,32 @@ def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3,
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(b.num_rows, -1) for k in (2, 3))
                 share = (x == y).mean(1)
-                keep = share >= threshold / 100 - 0.2
+                keep = share >= least
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)), pa.array(share[keep])], ["u", "v", "share"])
 
-    left = written(met.mapInArrow(alike, "u long, v long, share double"), "candidates")
+    return met.mapInArrow(alike, "u long, v long, share double")
+
+
+def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3, rounds: int = 20) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
+    signed = written(signatures(docs, size), "signatures")
+    classes = written(signed.where("doc_id is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"), F.min("n_shingles").alias("n_shingles")), "classes")
+    # Twice over two and a half standard deviations below the threshold: what can be a link, and what may have one to the same component.
+    likely, near = threshold / 100 - 0.2, threshold / 100 - 0.4
+    left = written(_alike(candidates(classes, threshold=threshold), classes, near), "candidates")
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("share"), "v"))
-    first = left.withColumn("rank", rank).where(F.col("rank") <= best).select("u", "v")
+    first = left.where(F.col("share") >= likely).withColumn("rank", rank).where(F.col("rank") <= best).select("u", "v")
     links = written(confirmed(first, docs, size, threshold), "links")
     done = written(first, "compared")
     for _ in range(rounds):
         found = written(components(links), "components")
         to = lambda c, d: d.join(found.withColumnRenamed("u", c).withColumnRenamed("component", f"{c}c"), c, "left").withColumn(f"{c}c", F.coalesce(f"{c}c", c))  # noqa: E731, B023
-        between = written(to("v", to("u", left.join(done, ["u", "v"], "left_anti"))).where("uc <> vc").select("u", "v"), "between")
+        apart = written(to("v", to("u", left)).where("uc <> vc"), "apart")
+        hub = written(hubs(classes, found), "hubs")
+        meets = apart.select("u", F.col("vc").alias("component")).union(apart.select(F.col("v").alias("u"), F.col("uc").alias("component"))).distinct()
+        to_hubs = _alike(meets.join(hub, "component").select("u", F.col("hub").alias("v")).where("u <> v").distinct(), classes, likely)
+        between = apart.where(F.col("share") >= likely).select("u", "v").union(to_hubs.select("u", "v")).distinct()
+        between = written(between.join(done, ["u", "v"], "left_anti"), "between")
         if between.isEmpty():
             break
         more = written(confirmed(between, docs, size, threshold), "links")
