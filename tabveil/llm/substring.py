@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import even_keys, only, partitions, whole_number
-from tabveil.llm.words import U, Words, pieces, runs, windows
+from tabveil.llm.words import U, Words, mix, pieces, runs, windows
 
 _PACKED = ["bucket", "docs", "keys", "counts", "gaps", "hashes"]
 _PACKED_TYPE = "bucket int, docs binary, keys binary, counts binary, gaps binary, hashes binary"
@@ -73,25 +73,36 @@ def _unpacked(table: pa.Table, kind: str) -> Iterator[tuple[np.ndarray, np.ndarr
             yield np.frombuffer(hashes, kind), np.repeat(np.frombuffer(docs, "<i8"), n), np.repeat(np.frombuffer(keys, "<i8"), n), place
 
 
-def _places(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    """A row for each document with its places."""
-    names, kinds = ["doc_id", "key", "places"], [pa.int64(), pa.int64(), pa.list_(pa.int32())]
+def _places(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: np.ndarray) -> pa.Table:
+    """Packed rows again, one for each group of documents at most: groups has their keys."""
     if not found:
-        return pa.table([pa.array([], k) for k in kinds], names=names)
+        return pa.table([pa.array([], pa.int32() if k == 0 else pa.binary()) for k in range(6)], names=_PACKED)
     docs, keys, places = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((places, keys, docs))
-    docs, keys, places = docs[order], keys[order], places[order].astype(np.int32)
+    docs, keys, places = docs[order], keys[order], places[order]
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])
-    at = np.append(np.flatnonzero(new), len(docs)).astype(np.int32)
-    return pa.table([pa.array(docs[new]), pa.array(keys[new]), pa.ListArray.from_arrays(pa.array(at), pa.array(places))], names=names)
+    number = np.cumsum(new) - 1
+    of = groups[(mix(docs[new].view(np.uint64) ^ keys[new].view(np.uint64)) % U(len(groups))).astype(np.int64)]
+    return pa.Table.from_batches([_packed_rows(of[number], np.zeros(len(docs), np.uint8), number, places, docs[new], keys[new])])
 
 
 _PLACES_TYPE = "doc_id long, key long, places array<int>"
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    """(doc_id, key, places) of what _places has packed."""
+
+    def unpack(key: tuple, table: pa.Table) -> pa.Table:
+        docs, keys, places = (np.concatenate(x) for x in zip(*(x[1:] for x in _unpacked(table, np.uint8)), strict=True))
+        order = np.lexsort((keys, docs))
+        docs, keys, places = docs[order], keys[order], places[order].astype(np.int32)
+        new = np.ones(len(docs), bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])
+        at = np.append(np.flatnonzero(new), len(docs)).astype(np.int32)
+        return pa.table([pa.array(docs[new]), pa.array(keys[new]), pa.ListArray.from_arrays(pa.array(at), pa.array(places))], names=["doc_id", "key", "places"])
+
+    return rows.groupBy("bucket").applyInArrow(unpack, _PLACES_TYPE)
 
 
 def _runs_in_documents(words: Words, size: int) -> np.ndarray:
@@ -139,7 +150,7 @@ def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 4_000_000) -> Dat
         met = doc < np.repeat(most, np.diff(edge))
         if met.any():
             found.append((doc[met], own[met], place[met]))
-        return _places(found)
+        return _places(found, keys)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text", part_bytes):
@@ -166,14 +177,14 @@ def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 4_000_000) -> Dat
         edge = runs(h[order])
         doc = doc[order]
         later = doc > np.repeat(np.minimum.reduceat(doc, edge[:-1]), np.diff(edge))
-        return _places([(doc[later], own[order][later], place[order][later])])
+        return _places([(doc[later], own[order][later], place[order][later])], keys)
 
     known = plain.where("doc_id is not null")
-    hit = _by_document(known.mapInArrow(probes, _PACKED_TYPE).groupBy("bucket").applyInArrow(hits, _PLACES_TYPE))
+    hit = _by_document(known.mapInArrow(probes, _PACKED_TYPE).groupBy("bucket").applyInArrow(hits, _PACKED_TYPE))
     # Both joins read the texts from one exchange, as its plan is the same.
     dealt = known.repartition("doc_id", "key")
     near = dealt.join(hit, ["doc_id", "key"]).select("doc_id", "key", "text", "places")
-    found = _by_document(near.mapInArrow(spans, _PACKED_TYPE).groupBy("bucket").applyInArrow(confirmed, _PLACES_TYPE))
+    found = _by_document(near.mapInArrow(spans, _PACKED_TYPE).groupBy("bucket").applyInArrow(confirmed, _PACKED_TYPE))
     none = plain.where("doc_id is null").withColumn("places", F.lit(None).cast("array<int>"))
     return dealt.join(found, ["doc_id", "key"], "left").select("doc_id", "key", "text", "places").union(none)
 
