@@ -36,6 +36,14 @@ def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.clusters(table(spark, folder, "documents"))
 
 
+def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tabveil.llm import ann
+
+    return ann.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tabveil.llm import packing
 
