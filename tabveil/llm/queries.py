@@ -36,6 +36,12 @@ def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.clusters(table(spark, folder, "documents"))
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from tabveil.llm import pii
+
+    return pii.report(table(spark, folder, "documents"))
+
+
 def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
