@@ -36,6 +36,25 @@ def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.clusters(table(spark, folder, "documents"))
 
 
+def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from tabveil.llm import lines
+
+    return lines.report(table(spark, folder, "documents"))
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from tabveil.llm import quality
+
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    from tabveil.llm import chat
+
+    return chat.formatted(table(spark, folder, "conversations"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     from tabveil.llm import pii
 
@@ -61,4 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tabveil.llm import chat
+
+    return {"op4_chat": chat.SQL}
