@@ -65,7 +65,7 @@ def recurring(docs: DataFrame, least: int = 10, depth: int = 2) -> DataFrame:
     """(a, b, n, first): keys of recurring templates, in how many documents, and the smallest doc_id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "text", 4_000_000):
+        for part, texts in pieces(batches, "text", 1_000_000):
             found: dict[tuple[int, int], list[int]] = {}
             for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 doc = NO_DOC if doc is None else doc
@@ -87,7 +87,7 @@ def dropped(docs: DataFrame, least: int = 10, depth: int = 2, salts: int = 16) -
     known = written(recurring(docs, least, depth), "templates").select("a", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "text", 4_000_000):
+        for part, texts in pieces(batches, "text", 1_000_000):
             rows = [(doc, key, i % salts, *k) for i, (doc, key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True)) for k in {k for k in line_keys(text.decode(), depth) if k}]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "key", "salt", "a", "b"])

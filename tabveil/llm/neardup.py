@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, size: int = 5, trees: int = TREES, depth: int =
     names = ["doc_id", "n_shingles", "a", "b", "signature"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "text", 1_500_000):
+        for part, texts in pieces(batches, "text", 800_000):
             doc, value = shingles(texts, size)
             n = np.bincount(doc, minlength=len(texts))
             a, b = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = 5, threshold: int =
     """The pairs (u, v) whose documents' full sets have 100 * intersection >= threshold * union."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "x", 1_000_000):
+        for part, texts in pieces(batches, "x", 400_000):
             doc, value = shingles([t for pair in zip(texts, [y or b"" for y in part.column(3).cast(pa.binary()).to_pylist()], strict=True) for t in pair], size)
             n = np.bincount(doc, minlength=2 * len(texts)).reshape(-1, 2)
             pair = doc // 2

@@ -111,7 +111,7 @@ def _runs_in_documents(words: Words, size: int) -> np.ndarray:
     return np.flatnonzero(words.doc[:n] == words.doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
-def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 4_000_000) -> DataFrame:
+def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 1_500_000) -> DataFrame:
     """(doc_id, key, text, places): each row of docs with the first words of its repeats (null: none). key: hash of the text."""
     buckets, block = partitions(docs.sparkSession), span // 2
     keys = np.array(even_keys(docs.sparkSession, buckets), np.int32)

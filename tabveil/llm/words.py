@@ -11,6 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+# Arrow's own pool keeps what it has freed; a worker beside a full heap should not.
+pa.set_memory_pool(pa.system_memory_pool())
 
 U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
@@ -111,20 +115,21 @@ def window_starts(words: Words, size: int) -> np.ndarray:
     return np.flatnonzero(words.doc[: len(words) - size + 1] == words.doc[size - 1 :])
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most `limit` bytes of text, unless one text alone is longer. Null: empty."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most `limit` bytes of text, unless one text alone is longer. Null: empty.
+
+    Only the slice at hand is copied out of its batch.
+    """
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        texts = [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
-        low = size = 0
-        for i, text in enumerate(texts):
-            if i > low and size + len(text) > limit:
-                yield batch.slice(low, i - low), texts[low:i]
-                low = i
-                size = 0
-            size += len(text)
-        if low < len(texts):
-            yield batch.slice(low), texts[low:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = done = 0
+        while low < len(ends):
+            high = max(low + 1, int(np.searchsorted(ends, done + limit, "right")))
+            own = texts.slice(low, high - low)
+            own = own.cast(pa.large_binary()) if pa.types.is_large_string(own.type) else own.cast(pa.binary())
+            yield batch.slice(low, high - low), [x or b"" for x in own.to_pylist()]
+            low, done = high, int(ends[high - 1])
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
