@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree.
 
-A line's template keeps its constant tokens and replaces variable fields (tokens with a digit, e-mail addresses,
-URLs, quoted strings) by ``<*>``. Its place in the tree is of fixed depth: the number of tokens, then the first
+A line's template keeps its constant tokens and replaces variable fields (tokens with a digit, an at sign, a quote
+or ``://``) by ``<*>``. Its place in the tree is of fixed depth: the number of tokens, then the first
 `depth` tokens as the template has them; the leaf holds the templates of that path. A template that occurs in `least`
 documents or more is recurring: its lines go from every document but the one with the smallest doc_id, so that no
 content goes altogether. Templates without a constant token, and blank lines, never recur.
@@ -17,26 +17,24 @@ document has them; ties of doc_id and repeated rows are kept as they are; extra
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import only, whole_number, written
-from tabveil.llm.words import pieces
+from tabveil.llm.words import U, Words, mix, pieces, powers, runs
 
 VARIABLE = "<*>"
-_FIELD = re.compile(r"\"[^\"\n]*\"|\S*[0-9]\S*|\S+@\S+\.\S+|https?://\S+")
 NO_DOC = (1 << 63) - 1
 
 
 def template(line: str) -> list[str]:
-    """The template's tokens."""
-    return _FIELD.sub(VARIABLE, line).split()
+    """The template's tokens, which ASCII white space parts."""
+    variable = lambda t: any(c.isdigit() and c.isascii() or c in '@"' for c in t) or "://" in t
+    return [VARIABLE if variable(t) else t for t in (x.decode() for x in line.encode().split())]
 
 
 def path(tokens: list[str], depth: int = 2) -> tuple[int, tuple[str, ...], tuple[str, ...]]:
@@ -44,18 +42,43 @@ def path(tokens: list[str], depth: int = 2) -> tuple[int, tuple[str, ...], tuple
     return len(tokens), tuple(tokens[:depth]), tuple(tokens[depth:])
 
 
-def line_keys(text: str, depth: int = 2) -> list[tuple[int, int] | None]:
-    """For each line its template's key of twice 64 bits; None: it cannot recur."""
-    out: list[tuple[int, int] | None] = []
-    for line in text.split("\n"):
-        tokens = template(line)
-        if all(t == VARIABLE for t in tokens):
-            out.append(None)
-        else:
-            n, lead, rest = path(tokens, depth)
-            key = xxhash.xxh3_128_intdigest(f"{n}\x00{' '.join(lead)}\x00{' '.join(rest)}")
-            out.append(((key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)))
-    return out
+class Lines:
+    """Keys of the lines with a constant token of some texts, in order: doc, line (of the doc), node and leaf.
+
+    node is a hash of the path to the leaf (token count and leading tokens), leaf one of the whole template.
+    """
+
+    def __init__(self, texts: list[bytes], depth: int = 2):
+        words = Words(texts)
+        count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        b = words.buf
+        odd = ((b >= 0x30) & (b <= 0x39)) | (b == 0x40) | (b == 0x22)
+        odd[: max(len(b) - 2, 0)] |= (b[:-2] == 0x3A) & (b[1:-1] == 0x2F) & (b[2:] == 0x2F) if len(b) > 2 else False
+        flags, breaks = count(odd), count(b == 0x0A)
+        variable = flags[words.end] > flags[words.start]
+        h = np.where(variable, U(0x5BD1E995), words.hashes())
+        number = breaks[words.start]
+        at = runs(number)
+        start, n = at[:-1], np.diff(at)
+        if not len(words):
+            start = n = np.zeros(0, np.int64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_BASE, len(h)), dtype=np.uint64)])
+        span = lambda a, z: (sums[z] - sums[a]) * powers(_INVERSE, max(len(h), 1))[a]
+        constant = count(~variable)
+        keep = constant[start + n] > constant[start]
+        start, n = start[keep], n[keep]
+        self.node = mix(span(start, start + np.minimum(n, depth)) + mix(n.astype(np.uint64))).view(np.int64)
+        self.leaf = mix(span(start, start + n) ^ U(0xA5A5A5A5)).view(np.int64)
+        self.doc = words.doc[start]
+        self.line = number[keep] - breaks[words.text_start[self.doc]] if len(start) else start
+
+    def distinct(self) -> np.ndarray:
+        """Places of the first of equal (doc, node, leaf)."""
+        order = np.lexsort((self.leaf, self.node, self.doc))
+        d, a, b = self.doc[order], self.node[order], self.leaf[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return order[new]
 
 
 _KEYS = "a long, b long, n long, first long"
@@ -65,18 +88,16 @@ def recurring(docs: DataFrame, least: int = 10, depth: int = 2) -> DataFrame:
     """(a, b, n, first): keys of recurring templates, in how many documents, and the smallest doc_id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "text", 1_000_000):
-            found: dict[tuple[int, int], list[int]] = {}
-            for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                doc = NO_DOC if doc is None else doc
-                for key in {k for k in line_keys(text.decode(), depth) if k}:
-                    own = found.setdefault(key, [0, doc])
-                    own[0] += 1
-                    own[1] = min(own[1], doc)
-            if found:
-                a, b = np.array(list(found), np.int64).T
-                n, first = np.array(list(found.values()), np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n, first)], ["a", "b", "n", "first"])
+        for part, texts in pieces(batches, "text"):
+            lines, ids = Lines(texts, depth), part.column(0).fill_null(NO_DOC).to_numpy()
+            own = lines.distinct()
+            a, b, doc = lines.node[own], lines.leaf[own], ids[lines.doc[own]]
+            order = np.lexsort((doc, b, a))
+            a, b, doc = a[order], b[order], doc[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], np.diff(np.append(at, len(a))), doc[at])], ["a", "b", "n", "first"])
 
     rows = whole_number(only(docs, doc_id="doc_id", text="text"), "doc_id").mapInArrow(count, _KEYS)
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= least)
@@ -87,10 +108,12 @@ def dropped(docs: DataFrame, least: int = 10, depth: int = 2, salts: int = 16) -
     known = written(recurring(docs, least, depth), "templates").select("a", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "text", 1_000_000):
-            rows = [(doc, key, i % salts, *k) for i, (doc, key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True)) for k in {k for k in line_keys(text.decode(), depth) if k}]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "key", "salt", "a", "b"])
+        for part, texts in pieces(batches, "text"):
+            lines = Lines(texts, depth)
+            own = lines.distinct()
+            doc = lines.doc[own]
+            ids, key = part.column(0).to_numpy(), part.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[doc], key[doc], (doc % salts).astype(np.int32), lines.node[own], lines.leaf[own])], ["doc_id", "key", "salt", "a", "b"])
 
     plain = whole_number(only(docs, doc_id="doc_id", text="text"), "doc_id").select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     own = plain.mapInArrow(keys, "doc_id long, key long, salt int, a long, b long")
@@ -104,15 +127,17 @@ def dropped(docs: DataFrame, least: int = 10, depth: int = 2, salts: int = 16) -
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
-                texts, lines, gone = part.column(at).to_pylist(), [], []
-                for i, (text, keys) in enumerate(zip(texts, part.column(len(names)).to_pylist(), strict=True)):
-                    n = text.count("\n") + 1 if text else 0
-                    lines.append(n)
-                    gone.append(0)
-                    if keys:
-                        drop = {(k["a"], k["b"]) for k in keys}
-                        kept = [x for x, k in zip(text.split("\n"), line_keys(text, depth), strict=True) if k not in drop]
-                        texts[i], gone[i] = "\n".join(kept), n - len(kept)
+                texts, gone = part.column(at).to_pylist(), [0] * part.num_rows
+                lines = [t.count("\n") + 1 if t else 0 for t in texts]
+                hit = [(i, {(k["a"], k["b"]) for k in keys}) for i, keys in enumerate(part.column(len(names)).to_pylist()) if keys]
+                found = Lines([texts[i].encode() for i, _ in hit], depth)
+                drop: list[set[int]] = [set() for _ in hit]
+                for d, line, key in zip(found.doc.tolist(), found.line.tolist(), zip(found.node.tolist(), found.leaf.tolist(), strict=True), strict=True):
+                    if key in hit[d][1]:
+                        drop[d].add(line)
+                for (i, _), out in zip(hit, drop, strict=True):
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in out)
+                    gone[i] = len(out)
                 columns = [pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
 
