@@ -28,6 +28,8 @@ from tabveil.llm.common import only, whole_number, written
 from tabveil.llm.words import U, Words, mix, pieces, powers, runs
 
 VARIABLE = "<*>"
+_BASE = 0xD1342543DE82EF95 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 NO_DOC = (1 << 63) - 1
 
 
