@@ -72,7 +72,7 @@ class Lines:
         self.node = mix(span(start, start + np.minimum(n, depth)) + mix(n.astype(np.uint64))).view(np.int64)
         self.leaf = mix(span(start, start + n) ^ U(0xA5A5A5A5)).view(np.int64)
         self.doc = words.doc[start]
-        self.line = number[keep] - breaks[words.text_start[self.doc]] if len(start) else start
+        self.line = number[start] - breaks[words.text_start[self.doc]]
 
     def distinct(self) -> np.ndarray:
         """Places of the first of equal (doc, node, leaf)."""
