@@ -74,7 +74,7 @@ def _matches(header: str, kind: str, weight: int, term: str) -> int:
         return 0
     if t and all(x in own for x in t):
         return weight
-    if len(c) >= 5 and " " in term and whole.endswith(c):
+    if len(c) >= 5 and any("".join(own[k:]) == c for k in range(len(own))):
         return weight
     if weight < 88 or kind in DATES or not c.isascii() or len(c) < 5:
         return 0

@@ -151,9 +151,9 @@ def decide(header: str, index: int, c: dict, postal: dict[str, int] | None = Non
     return p
 
 
-def profiled(df: DataFrame, columns: list[str] | None = None) -> list[Profile]:
-    """A profile of each column of df (a sample); two small aggregates and one of samples reach the driver."""
-    columns = columns or df.columns
+def profiled(df: DataFrame, names: list[str] | None = None) -> list[Profile]:
+    """A profile of each column of df (a sample) under its header; only aggregates reach the driver."""
+    columns, names = df.columns, names or df.columns
     cells = long_form(df, columns)
     counts = {r["col"]: r.asDict() for r in votes(cells).collect()}
     for extra in (checksum_votes(cells), key_likeness(cells).select("col", "key_like")):
@@ -165,5 +165,5 @@ def profiled(df: DataFrame, columns: list[str] | None = None) -> list[Profile]:
         postal.setdefault(r["col"], {})[r["country"]] = r["n"]
     out = []
     for i, c in enumerate(columns):
-        out.append(decide(c, i, counts.get(c, {"non_empty": 0}), postal.get(c), codes))
+        out.append(decide(names[i], i, counts.get(c, {"non_empty": 0}), postal.get(c), codes))
     return out

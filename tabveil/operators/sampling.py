@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tabveil.operators import ranking
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def splitmix64(position: pd.Series) -> pd.Series:
     """Unsigned 64-bit hash of a position; BIGINT would overflow, so numpy computes it in Arrow batches."""
     from decimal import Decimal

@@ -29,9 +29,9 @@ def run(source: DataFrame, column: str, mapping: str, out: str, checkpoint: str,
         known = parts.where(F.col("batch") < number).select("key", "n")
         keys = df.select(V.identity_key(F.col(column).cast("string")).alias("key")).where("key <> ''")
         extended(known, keys, seed).write.mode("overwrite").parquet(f"{mapping}/batch={number}")
-        now = spark.read.schema("key string, n long, batch long").parquet(mapping).select("key", "n")
+        now = spark.read.schema("key string, n long, batch long").parquet(mapping).select(F.col("key").alias("_key"), F.col("n").alias("_n"))
         rows = df.withColumn("_k", V.identity_key(F.col(column).cast("string")))
-        named = rows.join(now, rows["_k"] == now["key"], "left").withColumn(column, F.concat(F.lit(prefix), F.col("n").cast("string"))).select(*df.columns)
+        named = rows.join(now, F.col("_k") == F.col("_key"), "left").withColumn(column, F.concat(F.lit(prefix), F.col("_n").cast("string"))).select(*df.columns)
         named.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
