@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabveil.llm import decontaminate, lines, neardup, packing, toxicity
-from tabveil.llm.common import written
+from tabveil.llm.common import small_batches, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, fitted on the labels, does not score as toxic."""
+    small_batches(spark)
     return toxicity.rejected(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 

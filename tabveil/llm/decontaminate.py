@@ -182,8 +182,11 @@ FOUND = [T.StructField("hit_words", T.LongType()), T.StructField("hit_spans", T.
 _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 20_000) -> DataFrame:
-    """docs with n_words as hit_words, hit_items, and hit_spans: merged spans of words [first, last) and UTF-8 bytes [start, end)."""
+def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 20_000, remove: bool = False) -> DataFrame:
+    """docs with n_words as hit_words, hit_items, and hit_spans: merged spans of words [first, last) and UTF-8 bytes [start, end).
+
+    remove: the last block takes the spans out of the texts too.
+    """
     items = only(benchmark, item="item_id", body="text").withColumn("item", F.col("item").cast("long"))
     blocks = max(1, -(-items.count() // block))
     if blocks > 1:
@@ -194,11 +197,11 @@ def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 2
     for k in range(blocks):
         rows = items.where(F.col("part") == k) if blocks > 1 else items
         phrases = Phrases.of([(r["item"], r["body"]) for r in rows.collect()], size)
-        docs = docs.mapInArrow(_marker(phrases, plain), schema)
+        docs = docs.mapInArrow(_marker(phrases, plain, remove and k == blocks - 1), schema)
     return docs
 
 
-def _marker(phrases: Phrases, plain: list[str]):
+def _marker(phrases: Phrases, plain: list[str], remove: bool = False):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text", 1_500_000):
             words = Words(texts, ALNUM, lower=True)
@@ -230,7 +233,11 @@ def _marker(phrases: Phrases, plain: list[str]):
                     b = a + gap[0] if len(gap) else stop
                     t = words.text_start[d]
                     spans[d].append({"first": int(a - words.first[d]), "last": int(b - words.first[d]), "start": int(words.start[a] - t), "end": int(words.end[b - 1] - t)})
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(plain)], pa.array(words.n, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [*plain, *(f.name for f in FOUND)])
+            columns = part.columns[: len(plain)]
+            if remove:
+                at = plain.index("text")
+                columns[at] = pa.array([x.as_py() if not s else without_spans(t, s) for x, t, s in zip(columns[at], texts, spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words.n, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [*plain, *(f.name for f in FOUND)])
 
     return mark
 
@@ -248,21 +255,14 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 def removed(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs with the text of hit spans taken out (n_chars, if there, follows); all columns stay."""
-    found = marked(docs, benchmark, size)
     names = [f.name for f in docs.schema.fields]
+    found = marked(docs, benchmark, size, remove=True).select(*names)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else found
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(names.index("text")).to_pylist()
-            for i, spans in enumerate(b.column(len(names)).to_pylist()):
-                if spans:
-                    raw, left, at = texts[i].encode(), [], 0
-                    for s in spans:
-                        left.append(raw[at : s["start"]])
-                        at = s["end"]
-                    texts[i] = b"".join([*left, raw[at:]]).decode("utf-8", "replace")
-            columns = [pa.array(texts, pa.string()) if n == "text" else b.column(k) for k, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    out = found.drop("hit_words", "hit_items").mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+def without_spans(raw: bytes, spans: list[dict]) -> str:
+    left, at = [], 0
+    for s in spans:
+        left.append(raw[at : s["start"]])
+        at = s["end"]
+    return b"".join([*left, raw[at:]]).decode()

@@ -87,7 +87,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     )
     head = F.when(F.length("value") >= 16, F.regexp_extract("value", "^[A-Z]{3,4}", 0)).otherwise("")
     base = F.col("value").rlike(r"^[^@]+@[^@]+\.[^@]+$|^\+?[0-9][0-9 -]{11,}$")
-    return out.select("row", "start", "end", "value", "label", head.alias("head"), shape.alias("shape"), (base | ((F.length("value") >= 32) & mixed) | ((shape == "upper") & (F.length("value") >= 16))).alias("seed"))
+    return out.select("row", "start", "end", "value", "label", head.alias("head"), shape.alias("shape"), (base | ((F.length("value") >= 32) & mixed) | (shape.isin("hex", "upper") & (F.length("value") >= 16))).alias("seed"))
 
 
 def patterns(found: DataFrame, rounds: int = 3, prior: float = 2.0) -> DataFrame:

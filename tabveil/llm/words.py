@@ -7,14 +7,19 @@ position 0 and mixed. Cost is a few numpy passes a byte, with no Python object p
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Arrow's own pool keeps what it has freed; a worker beside a full heap should not.
+# Arrow's own pool and malloc's heap keep what was freed; a worker beside a full Java heap should give it back.
 pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):
+    for _option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        ctypes.CDLL(None).mallopt(_option, 1 << 20)
 
 U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
