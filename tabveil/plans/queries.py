@@ -422,4 +422,97 @@ def q_blank_rows(spark, folder):
     return table(spark, folder, "nation").where(csvfile.is_blank_row(["n_name"])).agg(F.count("*").alias("blank_rows"))
 
 
+def _wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with their customer as a table of strings of seven columns, in the order of o_orderkey."""
+    o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    mail = F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@mail"), (F.col("c_custkey") % 7).cast("string"), F.lit(".test"))
+    return o.select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("order_id"), "c_name", mail.alias("email"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), F.floor("o_totalprice").cast("string").alias("total"), "o_orderpriority", "c_mktsegment")
+
+
+_WIDE_PLAN = {"order_id": ("numericId", "pseudonymize"), "c_name": ("string", "tokenize"), "email": ("email", "pseudonymize"), "ordered": ("timestamp", "pseudonymize"), "total": ("numericValue", "pseudonymize"), "o_orderpriority": ("enum", "passThrough"), "c_mktsegment": ("enum", "mask")}
+
+
+def _plans() -> list:
+    from tabveil.plans.service import ColumnPlan
+
+    return [ColumnPlan(c, i, kind, "medium", how, how != "passThrough") for i, (c, (kind, how)) in enumerate(_WIDE_PLAN.items())]
+
+
+@query(None)
+def q_protected_release(spark, folder):
+    """A table protected column by column, as the service does it."""
+    from tabveil.plans import service
+
+    return service.protected(_wide(spark, folder), _plans(), _seed(), "o_orderkey")
+
+
+@query(None)
+def q_release_report(spark, folder):
+    """The report over a protected table, a row for each item of evidence."""
+    from tabveil.plans import service
+
+    source = _wide(spark, folder)
+    plans = _plans()
+    released = service.protected(source, plans, _seed(), "o_orderkey")
+    out = service.report(plans, service.measured(source, released, plans, "o_orderkey"))
+    return spark.createDataFrame([(e["id"], e["status"], e["detail"]) for e in out["evidence"]], "id string, status string, detail string")
+
+
+@query(None)
+def q_smart_replacements(spark, folder):
+    from tabveil.operators import smart
+
+    cells = table(spark, folder, "part").select(F.lit("p_name").alias("col"), F.col("p_name").alias("value"))
+    return smart.generated(smart.wanted(cells), smart.EchoFree())
+
+
+@query(None)
+def q_balanced_cells(spark, folder):
+    from tabveil.operators import smart
+
+    c = table(spark, folder, "customer")
+    cells = c.select(F.lit("c_name").alias("col"), F.col("c_custkey").alias("row"), F.col("c_name").alias("value")).union(c.select(F.lit("c_mktsegment"), "c_custkey", "c_mktsegment"))
+    return smart.balanced(cells).select("col", "row", "value")
+
+
+@query(None)
+def q_checksum_votes(spark, folder):
+    return profile.checksum_votes(_cells(spark, folder, {"customer": ["c_name", "c_custkey"], "orders": ["o_orderkey"]}))
+
+
+@query(None)
+def q_documents_as_rows(spark, folder):
+    fields = documents.flattened(table(spark, folder, "events"), "event_id", "props", "json")
+    return documents.as_rows(fields, "event_id")
+
+
+@query(None)
+def q_text_rewrite(spark, folder):
+    """Documents with the spans of their text replaced by markers, by joining released values back to their document."""
+    docs = table(spark, folder, "documents").where("text is not null")
+    fields = documents.flattened(docs, "doc_id", "text", "text")
+    released = fields.select("doc_id", "path", "value", F.concat(F.lit("["), F.upper("label"), F.lit("]")).alias("output")).distinct()
+    return documents.rewritten(docs, "doc_id", "text", "text", released).select("doc_id", F.sha2(F.col("content").cast("binary"), 256).alias("released"))
+
+
+@query(None)
+def q_stateful_stream(spark, folder):
+    """Events through a stream in which a user keeps one pseudonym over all micro-batches."""
+    import tempfile
+    import uuid
+
+    from tabveil.streaming import pseudonyms
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+    events = table(spark, folder, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"))
+    events.write.parquet(f"{at}/in")
+    source = spark.readStream.schema("event_id long, user_id string").parquet(f"{at}/in")
+    pseudonyms.run(source, "user_id", f"{at}/map", f"{at}/out", f"{at}/check", SEED).awaitTermination()
+    return spark.read.schema("event_id long, user_id string, batch long").parquet(f"{at}/out").select("event_id", "user_id")
+
+
+SQL["q_stateful_stream"] = f"""WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events), n AS (SELECT u, row_number() OVER (ORDER BY sha256('{SEED}' || chr(1) || 'stream' || chr(1) || u)) AS n FROM k)
+ SELECT event_id, 'user' || n AS user_id FROM events JOIN n ON CAST(user_id AS VARCHAR) = u"""
+SQL["q_documents_as_rows"] = """SELECT event_id, CAST(0 AS BIGINT) AS ord, json_extract_string(props, '$.k') AS "json/k:k" FROM events"""
 SQL["q_spread_sample"] = f"WITH {_SPLIT} SELECT o_orderkey, o_orderstatus FROM c ORDER BY xor(z, z // 2147483648::UHUGEINT) LIMIT 500"
