@@ -24,7 +24,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from tabveil.llm import decontaminate
 
-    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
 
 
 def op1_substring(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tabveil.llm import chat
+    from tabveil.llm import chat, sql
 
-    return {"op4_chat": chat.SQL}
+    return {"op1_substring": sql.SUBSTRING, "op2_lines": sql.LINES, "op3_neardup": sql.NEARDUP, "op4_chat": chat.SQL, "op9_decontaminate": sql.DECONTAMINATE}
