@@ -6,6 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,7 +130,18 @@ def _names(source: DataFrame, kind: str, seed: Column) -> DataFrame:
 
 
 def measured(source: DataFrame, released: DataFrame, plans: list[ColumnPlan], order: str) -> dict:
-    """Figures of a run: row uniqueness, effect of each column, unchanged and residual values, distributions."""
+    """Figures of a run: row uniqueness, effect of each column, unchanged and residual values, distributions.
+
+    The release is kept on the executors' disks meanwhile, as each figure reads it; what is lost is computed again.
+    """
+    released = released.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _figures(source, released, plans, order)
+    finally:
+        released.unpersist()
+
+
+def _figures(source: DataFrame, released: DataFrame, plans: list[ColumnPlan], order: str) -> dict:
     columns = [c for c in released.columns if c != order]
     parts = {c: uniqueness.projection(F.col(f"`{c}`"), p.kind, p.strategy, p.selected)[1] for p, c in zip(plans, columns, strict=True)}
     rows = uniqueness.projected(released, parts)
