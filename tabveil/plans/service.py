@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.functions import values as V
+from tabveil.functions.blake3 import token_udf
 from tabveil.operators import audit, distribution, profile, smart, strategies, uniqueness
 from tabveil.sources import csvfile
 
@@ -88,13 +89,15 @@ def controlled(plans: list[ColumnPlan], selected: list[int], controls: dict[int,
     return out
 
 
-def protected(df: DataFrame, plans: list[ColumnPlan], seed: Column, order: str, provider: smart.ReplacementProvider | None = None, known: DataFrame | None = None) -> DataFrame:
-    """df with selected columns rewritten. One projection for all that needs no map, then a join for each that does."""
+def protected(df: DataFrame, plans: list[ColumnPlan], seed: Column, order: str, provider: smart.ReplacementProvider | None = None, known: DataFrame | None = None, token_key: str | None = None) -> DataFrame:
+    """df with selected columns rewritten. token_key: 64 hexadecimal digits, for tokens that repeat over releases. One projection for all that needs no map, then a join for each that does."""
     columns = [c for c in df.columns if c != order]
     direct, mapped = {}, []
     for p, c in zip(plans, columns, strict=True):
         v = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
         e = strategies.expression(v, p.kind, "pseudonymize" if p.strategy == "localAi" else p.strategy, p.name, p.index, seed, p.placeholder or None) if p.selected else v
+        if p.selected and p.strategy == "tokenize" and token_key:
+            e = strategies.blank_kept(v, token_udf(token_key, p.name, p.index)(V.trimmed(v)))
         direct[c] = v if e is None else e
         if p.selected and (e is None or (p.strategy == "localAi" and provider)):
             mapped.append((p, c))

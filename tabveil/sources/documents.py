@@ -176,6 +176,25 @@ def rewritten_text(content: str, rewrite: Rewrite) -> str:
     return "".join([*out, content[at:]])
 
 
+def replayed(content: str, confirmed: list[tuple[int, int, str, str]], rewrite: Rewrite) -> str:
+    """A text rewritten at its own spans and at confirmed ones (start, end, type, value), which must still be where they were.
+
+    A confirmed span whose text differs, or that meets another span, is an error: the analysis is then of another text.
+    """
+    spans = [(s[0], s[1], s[4], s[8]) for s in S.find(content)]
+    for start, end, kind, value in confirmed:
+        if content[start:end] != value:
+            raise ValueError(f"{kind} is not at {start}")
+        if any(start < e and s < end for s, e, _, _ in spans):
+            raise ValueError(f"{kind} at {start} meets another span")
+        spans.append((start, end, kind, value))
+    out, at = [], 0
+    for start, end, kind, value in sorted(spans):
+        out += [content[at:start], rewrite(f"text/{kind}", value)]
+        at = end
+    return "".join([*out, content[at:]])
+
+
 FIELDS = {"json": json_fields, "yaml": yaml_fields, "xml": xml_fields, "text": text_fields, "logs": text_fields}
 REWRITES = {"json": rewritten_json, "yaml": rewritten_yaml, "xml": rewritten_xml, "text": rewritten_text, "logs": rewritten_text}
 

@@ -78,3 +78,33 @@ def test_headers_that_only_look_alike(header, kind):
 def test_jaro_winkler():
     assert headers.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert headers.jaro_winkler("dwayne", "duane") == pytest.approx(0.84, abs=1e-4)
+
+
+def test_blake3():
+    from tabveil.functions import blake3
+
+    assert blake3.digest(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+    data = bytes(i % 251 for i in range(5121))
+    assert blake3.digest(data[:1]).hex().startswith("2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213")
+    assert blake3.digest(data[:1024]).hex().startswith("42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7")
+    assert blake3.digest(data[:1025]).hex().startswith("d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444")
+    assert blake3.digest(b"x", b"k" * 32) != blake3.digest(b"x")
+
+
+def test_keyed_tokens(spark):
+    from tabveil.functions import blake3
+
+    f = blake3.token_udf("ab" * 32, "name", 1)
+    a, b, c = applied(spark, f, [" Ann  Lee", "ann lee", "Bo"])
+    assert a == b != c and len(a) == 28 and a.startswith("tok_")
+    assert applied(spark, blake3.token_udf("ab" * 32, "name", 2), ["Bo"]) != [c]
+
+
+def test_fingerprint(spark, tmp_path):
+    from tabveil.sources import fingerprint
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.csv").write_text("1")
+    one = fingerprint.files(spark, str(tmp_path / "a"))
+    (tmp_path / "a/x.csv").write_text("2")
+    assert one != fingerprint.files(spark, str(tmp_path / "a")) and fingerprint.fnv1a(b"a") == 0xAF63DC4C8601EC8C

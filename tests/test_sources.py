@@ -63,6 +63,14 @@ def test_text_and_formats():
     assert {k: documents.sniffed(k) for k in given} == given
 
 
+def test_replay():
+    text = "Ann wrote to a@b.co"
+    assert documents.replayed(text, [(0, 3, "person", "Ann")], lambda p, v: f"[{p[5:]}]") == "[person] wrote to [email]"
+    for bad in ((0, 3, "person", "Bob"), (13, 16, "person", "a@b")):
+        with pytest.raises(ValueError):
+            documents.replayed(text, [bad], lambda p, v: v)
+
+
 def test_documents_in_a_table(spark):
     df = spark.createDataFrame([(1, JSON), (2, '{"ok": false}')], "id long, doc string")
     fields = documents.flattened(df, "id", "doc", "json")
@@ -89,6 +97,8 @@ def test_service(spark, tmp_path):
     lines = next((tmp_path / "out").glob("*.csv")).read_text().splitlines()
     assert len(lines) == 61 and lines[1].startswith("1000,user") and "@x.org,[FULL_NAME_1],new" in lines[1]
     assert len({x.split(",")[1] for x in lines[1:]}) == 20
+    tokens = [service.protected(rows, service.controlled(plans, [1], {1: {"strategy": "tokenize"}}), F.lit("k"), "row_idx", token_key="ab" * 32).orderBy("row_idx").first()["_c1"] for _ in range(2)]
+    assert tokens[0] == tokens[1] and tokens[0].startswith("tok_")
     text = service.snapshot(plans, "abc")
     assert [p.name for p in service.restored(text, "abc")] == ["id", "email", "full_name", "status"]
     with pytest.raises(ValueError):
