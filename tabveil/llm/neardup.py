@@ -155,10 +155,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = 5, threshold: int =
 
 
 def hubs(classes: DataFrame, found: DataFrame, least: int = 9, top: int = 8) -> DataFrame:
-    """(component, hub): of each component of `least` classes or more, the `top` whose signatures agree most with its commonest minima."""
+    """(component, hub): of each component of `least` classes or more, the `top` whose signatures agree most with its commonest first minima of the trees."""
     member = classes.select(F.col("doc_id").alias("u"), "signature").join(found, "u", "left").withColumn("component", F.coalesce("component", "u"))
     crowded = member.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
-    values = F.transform(F.sequence(F.lit(0), F.expr("length(signature) div 4 - 1")), lambda i: F.hex(F.substring("signature", i * 4 + 1, F.lit(4))))
+    # The first minimum of each tree is enough to tell which text is in the middle.
+    values = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.hex(F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4))))
     rows = member.join(crowded, "component").select("component", "u", F.posexplode(values).alias("place", "value"))
     common = rows.groupBy("component", "place", "value").agg(F.count("*").alias("n")).groupBy("component", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
     agree = rows.join(common, ["component", "place", "value"]).groupBy("component", "u").agg(F.count("*").alias("n"))
