@@ -6,6 +6,7 @@ key of a value is trimmed, with inner white space collapsed to single spaces, in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -207,5 +208,10 @@ def hash_number(h: Column, first: int = 1, n: int = 15) -> Column:
     return F.conv(F.substring(h, first, n), 16, 10).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for a row, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)

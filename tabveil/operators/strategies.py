@@ -61,20 +61,25 @@ def token(v: Column, key: Column, header: str, index: int) -> Column:
 
 
 def uuid(v: Column, seed: Column) -> Column:
-    h = V.keyed_hash(seed, F.lit("uuid"), V.identity_key(v))
-    s = lambda a, n: F.substring(h, a, n)
-    variant = F.substring(F.lit("89ab"), (F.conv(s(17, 1), 16, 10).cast("int") % 4 + 1).cast("int"), F.lit(1))
-    out = F.concat(s(1, 8), F.lit("-"), s(9, 4), F.lit("-4"), s(14, 3), F.lit("-"), variant, s(18, 3), F.lit("-"), s(21, 12))
+    def made(h: Column) -> Column:
+        s = lambda a, n: F.substring(h, a, n)
+        variant = F.substring(F.lit("89ab"), (F.conv(s(17, 1), 16, 10).cast("int") % 4 + 1).cast("int"), F.lit(1))
+        return F.concat(s(1, 8), F.lit("-"), s(9, 4), F.lit("-4"), s(14, 3), F.lit("-"), variant, s(18, 3), F.lit("-"), s(21, 12))
+
+    out = V.let(V.keyed_hash(seed, F.lit("uuid"), V.identity_key(v)), made)
     return F.when((v == F.upper(v)) & v.rlike("[A-Z]"), F.upper(out)).otherwise(out)
 
 
 def timestamp(v: Column, seed: Column) -> Column:
     """The date moved by 1 to 365 days either way, the rest as it is; null: no date in front."""
-    h = V.keyed_hash(seed, F.lit("timestamp"), V.identity_key(v))
-    days = V.hash_number(h, 1, 8) % 365 + 1
-    shift = F.when(V.hash_number(h, 9, 1) % 2 == 0, days).otherwise(-days).cast("int")
+
+    def shift(h: Column) -> Column:
+        days = V.hash_number(h, 1, 8) % 365 + 1
+        return F.when(V.hash_number(h, 9, 1) % 2 == 0, days).otherwise(-days).cast("int")
+
     day = F.try_to_timestamp(F.substring(v, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
-    return F.when(v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}") & day.isNotNull(), F.concat(F.date_add(day, shift).cast("string"), F.substr(v, F.lit(11))))
+    days = V.let(V.keyed_hash(seed, F.lit("timestamp"), V.identity_key(v)), shift)
+    return F.when(v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}") & day.isNotNull(), F.concat(F.date_add(day, days).cast("string"), F.substr(v, F.lit(11))))
 
 
 def _digits(seed: Column, domain: str, v: Column) -> Column:
@@ -85,15 +90,18 @@ def _digits(seed: Column, domain: str, v: Column) -> Column:
 
 def _bumped(out: Column, v: Column) -> Column:
     """Another last digit if nothing changed."""
-    last = F.regexp_extract(out, "([0-9])[^0-9]*$", 1)
-    other = F.when(last == "9", "1").otherwise((last.cast("int") + 1).cast("string"))
-    return F.when(out == v, F.concat(F.regexp_replace(out, "[0-9]([^0-9]*)$", ""), other, F.regexp_extract(out, "[0-9]([^0-9]*)$", 1))).otherwise(out)
+
+    def bump(o: Column) -> Column:
+        last = F.regexp_extract(o, "([0-9])[^0-9]*$", 1)
+        other = F.when(last == "9", "1").otherwise((last.cast("int") + 1).cast("string"))
+        return F.when(o == v, F.concat(F.regexp_replace(o, "[0-9]([^0-9]*)$", ""), other, F.regexp_extract(o, "[0-9]([^0-9]*)$", 1))).otherwise(o)
+
+    return V.let(out, bump)
 
 
 def phone(v: Column, seed: Column) -> Column:
-    d = _digits(seed, "phone", v)
-    out = F.array_join(F.transform(F.split(v, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(d, i % 128 + 1, F.lit(1))).otherwise(c)), "")
-    return F.when((F.length(V.digits(v)) >= 7) & v.rlike(r"^[0-9 ()+.\-xet#*,;/]+$"), _bumped(out, v))
+    out = lambda d: F.array_join(F.transform(F.split(v, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(d, i % 128 + 1, F.lit(1))).otherwise(c)), "")
+    return F.when((F.length(V.digits(v)) >= 7) & v.rlike(r"^[0-9 ()+.\-xet#*,;/]+$"), _bumped(V.let(_digits(seed, "phone", v), out), v))
 
 
 def _fresh(width: Column, d: Column, first_at: int) -> Column:
@@ -105,29 +113,31 @@ def _fresh(width: Column, d: Column, first_at: int) -> Column:
 def numeric_id(v: Column, seed: Column) -> Column:
     """As wide as it was, its leading zeros kept; null: not only digits."""
     zeros = F.regexp_extract(v, "^(0*)", 1)
-    out = F.concat(zeros, _fresh(F.length(v) - F.length(zeros), _digits(seed, "numericId", v), 1))
+    out = V.let(_digits(seed, "numericId", v), lambda d: F.concat(zeros, _fresh(F.length(v) - F.length(zeros), d, 1)))
     return F.when(v.rlike("^[0-9]{1,100}$") & v.rlike("[1-9]"), _bumped(out, v)).when(v.rlike("^0+$"), _bumped(v, v))
 
 
 def numeric_value(v: Column, seed: Column) -> Column:
     """Sign, widths, decimals and leading zeros as they were; null: no number."""
-    d = _digits(seed, "numericValue", v)
     parts = r"^([+-]?)(0*)([0-9]*)(\.?)([0-9]*)$"
     x = lambda k: F.regexp_extract(v, parts, k)
-    out = F.concat(x(1), x(2), _fresh(F.length(x(3)), d, 1), x(4), F.substring(d, F.lit(65), F.length(x(5))))
+    out = V.let(_digits(seed, "numericValue", v), lambda d: F.concat(x(1), x(2), _fresh(F.length(x(3)), d, 1), x(4), F.substring(d, F.lit(65), F.length(x(5)))))
     return F.when(V.whole(v, V.NUMERIC) & v.rlike(parts) & (F.length(v) <= 60), _bumped(out, v))
 
 
 def generic(v: Column, seed: Column) -> Column:
     """Characters of an alphabet of 64, 80 to 120 % of the bytes; never the source in another case."""
-    n = F.octet_length(v)
-    h = V.keyed_hash(seed, F.lit("generic"), V.identity_key(v))
-    width = F.greatest(F.lit(1), F.floor(n * (80 + V.hash_number(h, 1, 6) % 41) / 100)).cast("int")
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(width / 32)).cast("int"))
-    raw = F.array_join(F.transform(rounds, lambda i: F.sha2(F.concat(h, i.cast("string")).cast("binary"), 256)), "")
-    char = lambda i: F.substring(F.lit(ALPHABET), (F.conv(F.substring(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int") % 64 + 1).cast("int"), F.lit(1))
-    out = F.array_join(F.transform(F.sequence(F.lit(1), width), char), "")
-    return F.when(F.lower(out) == F.lower(v), F.concat(out, F.lit("x"))).otherwise(out)
+
+    def made(h: Column) -> Column:
+        width = F.greatest(F.lit(1), F.floor(F.octet_length(v) * (80 + V.hash_number(h, 1, 6) % 41) / 100)).cast("int")
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(width / 32)).cast("int"))
+        # Each hash gives 32 characters, one for two of its digits.
+        char = lambda x, i: F.substring(F.lit(ALPHABET), (F.conv(F.substring(x, 2 * i - 1, F.lit(2)), 16, 10).cast("int") % 64 + 1).cast("int"), F.lit(1))
+        part = lambda k: V.let(F.sha2(F.concat(h, k.cast("string")).cast("binary"), 256), lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: char(x, i)), ""))
+        return F.substring(F.array_join(F.transform(rounds, part), ""), F.lit(1), width)
+
+    drawn = V.let(V.keyed_hash(seed, F.lit("generic"), V.identity_key(v)), made)
+    return V.let(drawn, lambda o: F.when(F.lower(o) == F.lower(v), F.concat(o, F.lit("x"))).otherwise(o))
 
 
 def labels(df: DataFrame, column: str, order: str, label: str, out: str) -> DataFrame:

@@ -512,6 +512,22 @@ def q_stateful_stream(spark, folder):
     return spark.read.schema("event_id long, user_id string, batch long").parquet(f"{at}/out").select("event_id", "user_id")
 
 
+def _digits_sql(domain: str, v: str) -> str:
+    h = lambda n: f"sha256('{SEED}' || chr(1) || '{domain}' || chr(1) || {v} || chr(1) || '{n}')"
+    return f"translate({h(0)} || {h(1)}, 'abcdef', '012345')"
+
+
+_NEXT = "CASE WHEN right(r, 1) = '9' THEN '1' ELSE CAST(CAST(right(r, 1) AS INT) + 1 AS VARCHAR) END"
+SQL["q_phone_shape"] = f"""WITH a AS (SELECT c_custkey, '+31 (' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || ') 555-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS v FROM customer), b AS (SELECT *, {_digits_sql("phone", "v")} AS d FROM a),
+ c AS (SELECT c_custkey, v, array_to_string(list_transform(string_split(v, ''), lambda c, i: CASE WHEN regexp_matches(c, '[0-9]') THEN d[(i - 1) % 128 + 1] ELSE c END), '') AS r FROM b)
+ SELECT c_custkey, v AS source, CASE WHEN r = v THEN left(r, length(r) - 1) || {_NEXT} ELSE r END AS released FROM c"""
+SQL["q_iban_check"] = """WITH a AS (SELECT c_custkey, lpad(CAST(c_custkey % 98 AS VARCHAR), 2, '0') AS c, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS n FROM customer) SELECT c_custkey, 'NL' || c || 'ABNA' || n AS iban, CAST('10112310' || n || '2321' || c AS HUGEINT) % 97 = 1 AS ok FROM a"""
+SQL["q_protected_release"] = f"""WITH w AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_id, c_name, 'user' || c_custkey || '@mail' || (c_custkey % 7) || '.test' AS email, strftime(o_orderdate, '%Y-%m-%d') AS ordered, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS total, o_orderpriority, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey),
+ m AS (SELECT email, 'user' || row_number() OVER (ORDER BY sha256('{SEED}' || chr(1) || 'email' || chr(1) || email)) || '@' || string_split(email, '@')[2] AS output FROM (SELECT DISTINCT email FROM w)),
+ d AS (SELECT *, regexp_extract(order_id, '^(0*)', 1) AS z, {_digits_sql("numericId", "order_id")} AS di, {_digits_sql("numericValue", "total")} AS dv, sha256('{SEED}' || chr(1) || 'timestamp' || chr(1) || ordered) AS h FROM w),
+ r AS (SELECT *, CASE WHEN length(z) = 9 THEN order_id ELSE z || CAST(CAST(di[1] AS INT) % 9 + 1 AS VARCHAR) || substr(di, 2, 8 - length(z)) END AS ri, CAST(CAST(dv[1] AS INT) % 9 + 1 AS VARCHAR) || substr(dv, 2, length(total) - 1) AS rv, CAST(('0x' || substr(h, 1, 8))::BIGINT % 365 + 1 AS INT) * CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS days FROM d)
+ SELECT o_orderkey, CASE WHEN ri = order_id THEN left(ri, 8) || {_NEXT.replace("right(r,", "right(ri,")} ELSE ri END AS order_id, 'tok_' || substr(sha256('{SEED}' || chr(1) || 'token' || chr(1) || '1' || chr(1) || 'c_name' || chr(1) || lower(c_name)), 1, 24) AS c_name, output AS email,
+ strftime(CAST(ordered AS DATE) + days, '%Y-%m-%d') AS ordered, CASE WHEN rv = total THEN left(rv, length(rv) - 1) || {_NEXT.replace("right(r,", "right(rv,")} ELSE rv END AS total, o_orderpriority, regexp_replace(c_mktsegment, '\\S', '*', 'g') AS c_mktsegment FROM r JOIN m USING (email)"""
 SQL["q_stateful_stream"] = f"""WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events), n AS (SELECT u, row_number() OVER (ORDER BY sha256('{SEED}' || chr(1) || 'stream' || chr(1) || u)) AS n FROM k)
  SELECT event_id, 'user' || n AS user_id FROM events JOIN n ON CAST(user_id AS VARCHAR) = u"""
 SQL["q_documents_as_rows"] = """SELECT event_id, CAST(0 AS BIGINT) AS ord, json_extract_string(props, '$.k') AS "json/k:k" FROM events"""
