@@ -34,6 +34,17 @@ _PACKED = ["bucket", "docs", "keys", "counts", "gaps", "hashes"]
 _PACKED_TYPE = "bucket int, docs binary, keys binary, counts binary, gaps binary, hashes binary"
 
 
+def _by_bytes(x: np.ndarray, kind: str) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: the upper ones are mostly alike and pack to little."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _packed_rows(bucket: np.ndarray, hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
     """Rows of a part, by bucket. doc: place of the document in ids and keys; at: word of the document. In order of (doc, at)."""
     if not len(bucket):
@@ -48,13 +59,11 @@ def _packed_rows(bucket: np.ndarray, hashes: np.ndarray, doc: np.ndarray, at: np
         here, place = d[first[:-1]], at[own]
         gaps = np.diff(place, prepend=0)
         gaps[first[:-1]] = place[first[:-1]]
-        gaps = gaps.astype("<u4")
-        # Byte by byte, as the upper ones are mostly 0 and pack to nothing.
         out[0].append(int(bucket[own[0]]))
-        out[1].append(ids[here].astype("<i8").tobytes())
-        out[2].append(keys[here].astype("<i8").tobytes())
-        out[3].append(np.diff(first).astype("<u4").tobytes())
-        out[4].append(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
+        out[1].append(_by_bytes(ids[here], "<i8"))
+        out[2].append(keys[here].astype("<i4").tobytes())
+        out[3].append(_by_bytes(np.diff(first), "<u4"))
+        out[4].append(_by_bytes(gaps, "<u4"))
         out[5].append(hashes[own].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], _PACKED)
 
@@ -65,12 +74,11 @@ def _unpacked(table: pa.Table, kind: str) -> Iterator[tuple[np.ndarray, np.ndarr
         columns = [batch.column(k) for k in range(1, 6)]
         for i in range(batch.num_rows):
             docs, keys, counts, gaps, hashes = (c[i].as_py() for c in columns)
-            n = np.frombuffer(counts, "<u4").astype(np.int64)
-            gap = np.ascontiguousarray(np.frombuffer(gaps, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+            n, gap = _numbers(counts, "<u4").astype(np.int64), _numbers(gaps, "<u4").astype(np.int64)
             total = np.cumsum(gap)
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             place = total - np.repeat(total[first] - gap[first], n)
-            yield np.frombuffer(hashes, kind), np.repeat(np.frombuffer(docs, "<i8"), n), np.repeat(np.frombuffer(keys, "<i8"), n), place
+            yield np.frombuffer(hashes, kind), np.repeat(_numbers(docs, "<i8"), n), np.repeat(np.frombuffer(keys, "<i4"), n), place
 
 
 def _places(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: np.ndarray) -> pa.Table:
@@ -83,11 +91,11 @@ def _places(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: np.n
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])
     number = np.cumsum(new) - 1
-    of = groups[(mix(docs[new].view(np.uint64) ^ keys[new].view(np.uint64)) % U(len(groups))).astype(np.int64)]
+    of = groups[(mix(docs[new].view(np.uint64) ^ keys[new].astype(np.int64).view(np.uint64)) % U(len(groups))).astype(np.int64)]
     return pa.Table.from_batches([_packed_rows(of[number], np.zeros(len(docs), np.uint8), number, places, docs[new], keys[new])])
 
 
-_PLACES_TYPE = "doc_id long, key long, places array<int>"
+_PLACES_TYPE = "doc_id long, key int, places array<int>"
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
@@ -115,7 +123,7 @@ def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 1_500_000) -> Dat
     """(doc_id, key, text, places): each row of docs with the first words of its repeats (null: none). key: hash of the text."""
     buckets, block = partitions(docs.sparkSession), span // 2
     keys = np.array(even_keys(docs.sparkSession, buckets), np.int32)
-    plain = whole_number(only(docs, doc_id="doc_id", text="text"), "doc_id").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    plain = whole_number(only(docs, doc_id="doc_id", text="text"), "doc_id").select("doc_id", F.hash("text").alias("key"), "text")
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text", part_bytes):
