@@ -8,7 +8,8 @@ words and of the total weight.
 
 `fit` learns the terms from a bounded sample of labelled rows (``per_label`` rows of each label, those with the
 smallest hash of doc_id). Candidates are ranked by smoothed log odds; a greedy cover keeps the fewest terms
-that explain the toxic rows, so that the ordinary words of copied toxic texts do not enter.
+that explain the toxic rows, so that the ordinary words of copied toxic texts do not enter. Seeds, common insults,
+are terms as well unless clean rows hold them.
 
 Cases: null and empty texts score as texts without a match; null doc_ids are scored, count as not held out and
 teach nothing; repeated rows each give a row; without toxic labels the lexicon is empty and every score is the
@@ -38,6 +39,11 @@ LOOK_ALIKE = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "i", "ø": "o", "đ": "d", "ħ": "h", "ß": "ss", "æ": "ae", "œ": "oe",
     "0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
 }
+#: Common insults: terms from the start, unless the labels speak against them.
+SEEDS = (
+    "idiot moron imbecile stupid dumb dumbass fool loser pathetic worthless useless disgusting disgrace scum trash garbage filth vermin clown jerk bastard asshole bitch slut whore cunt dickhead douchebag prick "
+    "retard retarded freak creep pervert coward liar crap shit bullshit fuck fucking motherfucker"
+).split()
 _LEET = re.compile(r"(?<=\w)[@$!|](?=\w)")
 _LEET_AS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 
@@ -149,7 +155,7 @@ def _cover(toxic: list[set[str]], weight: dict[str, float], cost: dict[str, floa
     return chosen
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 8000, candidates: int = 20000, least_share: float = 0.004, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 8000, candidates: int = 20000, least_share: float = 0.004, exceptions: tuple[str, ...] = (), seeds: tuple[str, ...] = tuple(SEEDS)) -> Lexicon:
     """Learn a lexicon. per_label bounds the sample of labelled rows; candidates bounds the terms that are weighed."""
     spark = docs.sparkSession
     known = only(labels, id="doc_id", y=label).where(train_rows(F.col("id")) & F.col("y").isin(0, 1)).distinct()
@@ -183,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     least = max(3, math.ceil(least_share * pos))
     top = rows.where("y = 1").select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("p")).where(F.col("p") >= least).orderBy(F.desc("p"), "term").limit(candidates).collect()
     p = {r["term"]: r["p"] for r in top}
-    looked_for = frozenset(p)
+    own = {f" {fold(w).strip()} " for w in seeds}
+    looked_for = frozenset(p) | own
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,9 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     against = {r["term"]: r["n"] for r in rows.where("y = 0").mapInArrow(hits, "y int, terms array<string>").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     weight = {t: math.log((p[t] + 0.5) / (pos + 1)) - math.log((against.get(t, 0) + 0.5) / (neg + 1)) for t in p}
     weight = {t: w for t, w in weight.items() if w >= 3 and p[t] >= 20 * against.get(t, 0) * pos / neg}
+    given = {t: max(4.0, weight.get(t, 0.0)) for t in own if p.get(t, 0) >= 20 * against.get(t, 0) * pos / neg}
     looked_for = frozenset(weight)
     toxic = [set(r["terms"]) for r in rows.where("y = 1").mapInArrow(hits, "y int, terms array<string>").toLocalIterator()]
-    lexicon = Lexicon({t: weight[t] for t in _cover(toxic, weight, {t: against.get(t, 0) * pos / neg for t in weight}, least)}, [fold(x).rstrip() + " " for x in exceptions])
+    lexicon = Lexicon(given | {t: weight[t] for t in _cover(toxic, weight, {t: against.get(t, 0) * pos / neg for t in weight}, least)}, [fold(x).rstrip() + " " for x in exceptions])
     at = scored_rows(rows.select(F.col("y").cast("long").alias("doc_id"), "text"), lexicon, is_folded=True).select("doc_id", "total", "n_words").collect()
     y = np.array([r["doc_id"] for r in at], float)
     x = _features(np.array([r["total"] for r in at], float), np.array([r["n_words"] for r in at], float))

@@ -21,7 +21,8 @@ def corpus(spark, spoil, n=400, seed=5):
 def test_toxicity(spark, odd, none):
     docs, labels, y = corpus(spark, lambda r, w: w[:3] + [r.choice(["nastyword", "vileterm"])] * 2 + w[3:])
     lexicon = toxicity.fit(docs, labels)
-    assert {t.strip() for t in lexicon.terms} <= {toxicity.fold("nastyword").strip(), toxicity.fold("vileterm").strip()} or len(lexicon.terms) <= 4
+    learned = {t.strip() for t in lexicon.terms} - {toxicity.fold(w).strip() for w in toxicity.SEEDS}
+    assert learned == {toxicity.fold("nastyword").strip(), toxicity.fold("vileterm").strip()}
     got = {r.doc_id: r for r in toxicity.score(docs, lexicon).collect()}
     assert all(r.predicted == y[d] and 0 <= r.score <= 1 for d, r in got.items())
     assert {r.held_out for r in got.values()} == {True, False}
