@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabveil.llm import decontaminate, lines, neardup, packing, toxicity
-from tabveil.llm.common import small_batches, written
+from tabveil.llm.common import aside, small_batches, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of recurring templates after the first; n_chars follows the text."""
-    out = lines.dropped(docs, least=10).drop("n_lines", "n_dropped")
+    own, back = aside(docs, ["n_lines", "n_dropped", "_gone", "_doc", "_key"])
+    out = lines.dropped(own, least=10).drop("n_lines", "n_dropped").withColumnsRenamed(back)
     return _with_length(out, docs)
 
 

@@ -46,6 +46,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{v}`") if k == v else F.col(f"`{v}`").alias(k) for k, v in columns.items()])
 
 
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that have one of the names under others, and how to name them back."""
+    back = {f"{n}__own": n for n in names if n in df.columns}
+    return df.withColumnsRenamed({v: k for k, v in back.items()}), back
+
+
 def whole_number(df: DataFrame, column: str) -> DataFrame:
     """df with the column as BIGINT."""
     return df if dict(df.dtypes)[column] == "bigint" else df.withColumn(column, F.col(column).cast("long"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabveil.llm.common import only
+from tabveil.llm.common import aside, only
 from tabveil.llm.words import ALNUM, Words, pieces, runs
 
 SAMPLE = 16
@@ -255,8 +255,9 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 def removed(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs with the text of hit spans taken out (n_chars, if there, follows); all columns stay."""
-    names = [f.name for f in docs.schema.fields]
-    found = marked(docs, benchmark, size, remove=True).select(*names)
+    docs, back = aside(docs, [f.name for f in FOUND])
+    names = docs.columns
+    found = marked(docs, benchmark, size, remove=True).select(*names).withColumnsRenamed(back)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else found
 
 

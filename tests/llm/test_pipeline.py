@@ -19,5 +19,12 @@ def test_stages(spark):
     assert pieces.select("doc_id").distinct().count() == before.count()
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of some words", i, "k", 1) for i in range(5)], "doc_id long, text string, n_lines long, hit_words string, _key int")
+    for k in (1, 3):
+        out = corpus_pipeline.STAGES[k][1](spark, docs, DATA)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
