@@ -107,8 +107,9 @@ def generated(values: DataFrame, provider: ReplacementProvider) -> DataFrame:
 
 def balanced(cells: DataFrame, most: int = CELLS) -> DataFrame:
     """Cells (col, row, value) taken in turn from the columns, each column's by a hash, `most` in all."""
-    h = F.xxhash64(F.col("col"), F.col("row"))
-    return cells.withColumn("turn", F.row_number().over(Window.partitionBy("col").orderBy(h, "row"))).where(F.col("turn") <= most).orderBy("turn", F.xxhash64("col"), "col").limit(most)
+    h = lambda *c: F.sha2(F.concat_ws("|", *c).cast("binary"), 256)
+    turn = F.row_number().over(Window.partitionBy("col").orderBy(h(F.col("col"), F.col("row").cast("string"))))
+    return cells.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", h(F.col("col"))).limit(most)
 
 
 def requests(cells: list[tuple[str, int, str]]) -> list[list[tuple[str, int, str]]]:

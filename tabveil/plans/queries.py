@@ -528,6 +528,17 @@ SQL["q_protected_release"] = f"""WITH w AS (SELECT o_orderkey, lpad(CAST(o_order
  r AS (SELECT *, CASE WHEN length(z) = 9 THEN order_id ELSE z || CAST(CAST(di[1] AS INT) % 9 + 1 AS VARCHAR) || substr(di, 2, 8 - length(z)) END AS ri, CAST(CAST(dv[1] AS INT) % 9 + 1 AS VARCHAR) || substr(dv, 2, length(total) - 1) AS rv, CAST(('0x' || substr(h, 1, 8))::BIGINT % 365 + 1 AS INT) * CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS days FROM d)
  SELECT o_orderkey, CASE WHEN ri = order_id THEN left(ri, 8) || {_NEXT.replace("right(r,", "right(ri,")} ELSE ri END AS order_id, 'tok_' || substr(sha256('{SEED}' || chr(1) || 'token' || chr(1) || '1' || chr(1) || 'c_name' || chr(1) || lower(c_name)), 1, 24) AS c_name, output AS email,
  strftime(CAST(ordered AS DATE) + days, '%Y-%m-%d') AS ordered, CASE WHEN rv = total THEN left(rv, length(rv) - 1) || {_NEXT.replace("right(r,", "right(rv,")} ELSE rv END AS total, o_orderpriority, regexp_replace(c_mktsegment, '\\S', '*', 'g') AS c_mktsegment FROM r JOIN m USING (email)"""
+SQL["q_xml_flatten"] = " UNION ALL ".join(f"SELECT c_custkey, '{path}' AS path, '{label}' AS label, CAST(0 AS BIGINT) AS ord, CAST({v} AS VARCHAR) AS value, 'string' AS kind FROM customer" for path, label, v in (("xml/e:row/@:id", "row.@id", "c_custkey"), ("xml/e:row/e:name/text", "row.name", "c_name"), ("xml/e:row/e:note/text", "row.note", "c_mktsegment")))
+SQL["q_yaml_flatten"] = " UNION ALL ".join(f"SELECT n_nationkey, '{path}' AS path, '{label}' AS label, CAST({n} AS BIGINT) AS ord, CAST({v} AS VARCHAR) AS value, '{kind}' AS kind FROM nation" for path, label, n, v, kind in (("yaml/k:name", "name", 0, "n_name", "string"), ("yaml/k:role/a", "role[]", 0, "'a'", "string"), ("yaml/k:role/a", "role[]", 1, "'b'", "string"), ("yaml/k:key", "key", 0, "n_nationkey", "number")))
+SQL["q_smart_replacements"] = """SELECT 'p_name' AS col, value, 'stand-in ' || substr(sha256('p_name' || chr(0) || value), 1, 12) AS output, CAST(NULL AS VARCHAR) AS reason FROM (SELECT min(p_name) AS value FROM part GROUP BY lower(p_name) ORDER BY 1 LIMIT 200)"""
+SQL["q_name_mapping"] = f"""WITH k AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS key FROM part), r AS (SELECT key, row_number() OVER (ORDER BY sha256('{SEED}' || chr(1) || 'firstName' || chr(1) || key)) AS n FROM k WHERE key <> '')
+ SELECT key, {strategies.FIRST!r}[(n - 1) % {len(strategies.FIRST)} + 1] AS output FROM r WHERE n <= {len(strategies.FIRST)}"""
+SQL["q_generic_shape"] = f"""WITH a AS (SELECT p_partkey, p_name AS v, sha256('{SEED}' || chr(1) || 'generic' || chr(1) || lower(p_name)) AS h FROM part), b AS (SELECT *, CAST(greatest(1, floor(strlen(v) * (80 + ('0x' || substr(h, 1, 6))::BIGINT % 41) / 100)) AS INT) AS w FROM a),
+ c AS (SELECT *, list_transform(range(1, greatest(1, CAST(ceil(w / 32) AS INT)) + 1), lambda k: sha256(h || k)) AS xs FROM b),
+ d AS (SELECT p_partkey, v, left(array_to_string(list_transform(xs, lambda x: array_to_string(list_transform(range(1, 33), lambda i: substr('{strategies.ALPHABET}', CAST(('0x' || substr(x, 2 * i - 1, 2))::BIGINT % 64 + 1 AS BIGINT), 1)), '')), ''), w) AS o FROM c)
+ SELECT p_partkey, CASE WHEN lower(o) = lower(v) THEN o || 'x' ELSE o END AS released FROM d"""
+SQL["q_balanced_cells"] = """WITH c AS (SELECT 'c_name' AS col, c_custkey AS "row", c_name AS value FROM customer UNION ALL SELECT 'c_mktsegment', c_custkey, c_mktsegment FROM customer),
+ t AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY sha256(col || '|' || "row")) AS turn FROM c) SELECT col, "row", value FROM t ORDER BY turn, sha256(col) LIMIT 320"""
 SQL["q_stateful_stream"] = f"""WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events), n AS (SELECT u, row_number() OVER (ORDER BY sha256('{SEED}' || chr(1) || 'stream' || chr(1) || u)) AS n FROM k)
  SELECT event_id, 'user' || n AS user_id FROM events JOIN n ON CAST(user_id AS VARCHAR) = u"""
 SQL["q_documents_as_rows"] = """SELECT event_id, CAST(0 AS BIGINT) AS ord, json_extract_string(props, '$.k') AS "json/k:k" FROM events"""
