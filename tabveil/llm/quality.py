@@ -1,6 +1,7 @@
 """Quality as an ordinal grade: cumulative-link (proportional odds) regression on hashed text.
 
-Features are counts of byte triples, hashed to `size` places, as log(1 + n) and of unit length; one weight for each
+Features are counts of byte triples, hashed to `size` places, as log(1 + n) and of unit length, and the text's form
+(its length, how often a word repeats the one before, how few words are distinct); one weight for each
 place is shared by all grades, and ordered thresholds part them: P(grade <= k) = logistic(threshold k - weight x).
 The thresholds stay ordered as each is the one before plus an exponential. The fit is Adam on the full sample:
 `per_grade` labelled rows of each grade at most, those with the smallest hash of doc_id, weighted back
@@ -26,15 +27,22 @@ from tabveil.llm.toxicity import train_rows
 from tabveil.llm.words import pieces
 
 
+#: Places at the end of the weights for the form of a text: its length, by powers of two, and how its words repeat.
+FORM = 32
+
+
 def features(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, values) of the hashed byte triples."""
+    """(places, values) of the hashed byte triples and of the text's form."""
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    n = np.bincount(((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(8)) & np.uint32(size - 1), minlength=size)
+    n = np.bincount(((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(size - FORM), minlength=size)
     at = np.flatnonzero(n)
     value = np.log1p(n[at]).astype(np.float32)
-    return at, value / np.linalg.norm(value)
+    words = text.split()
+    again = sum(x == y for x, y in zip(words, words[1:], strict=False)) / max(len(words), 1)
+    form = [size - FORM + min(len(b).bit_length(), FORM - 3), size - 2, size - 1]
+    return np.concatenate([at, form]), np.concatenate([value / np.linalg.norm(value), np.array([0.5, again, 1 - len(set(words)) / max(len(words), 1)], np.float32)])
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
