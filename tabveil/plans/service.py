@@ -101,23 +101,24 @@ def protected(df: DataFrame, plans: list[ColumnPlan], seed: Column, order: str,
         direct[c] = v if e is None else e
         if p.selected and (e is None or (p.strategy == "localAi" and provider)):
             mapped.append((p, c))
-    out = df.select(order, *[e.alias(c) for c, e in direct.items()])
+    # Columns that need a map keep their source beside them; each map is joined by its key, small ones without an exchange.
+    sources = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for _, c in mapped}
+    out = df.select(order, *[e.alias(c) for c, e in direct.items()], *[e.alias(f"_s_{c}") for c, e in sources.items()])
     for p, c in mapped:
-        source = df.select(order, F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("_v"))
+        own, v = df.select(order, sources[c].alias("_v")), F.col(f"`_s_{c}`")
+        if p.strategy == "label":
+            label = p.placeholder.strip("[]") if p.ambiguous else strategies.column_label(p.name, p.index)
+            out = strategies.labels(out.drop(c), f"_s_{c}", order, label, c)
+            continue
         if p.strategy == "localAi" and provider:
-            answers = smart.generated(smart.wanted(source.select(F.lit(c).alias("col"), F.col("_v").alias("value")), known), provider).where("reason is null")
+            answers = smart.generated(smart.wanted(own.select(F.lit(c).alias("col"), F.col("_v").alias("value")), known), provider).where("reason is null")
             table = answers.select(V.identity_key(F.col("value")).alias("_k"), F.col("output").alias("_o"))
-        elif p.strategy == "label":
-            labelled = strategies.labels(source, "_v", order, p.placeholder.strip("[]") if p.ambiguous else strategies.column_label(p.name, p.index), "_o")
-            out = out.drop(c).join(labelled.select(order, F.col("_o").alias(c)), order)
-            continue
         elif p.kind == "email":
-            table = strategies.email_mapping(source.select(F.col("_v").alias("value")), seed).select(F.col("key").alias("_k"), F.col("output").alias("_o"))
+            table = strategies.email_mapping(own.select(F.col("_v").alias("value")), seed).select(F.col("key").alias("_k"), F.col("output").alias("_o"))
         else:
-            table = _names(source, p.kind, seed)
-        rows = source.withColumn("_k", V.identity_key(F.col("_v"))).join(table, "_k", "left").select(order, "_v", "_o")
-        rest = strategies.blank_kept(F.col("_v"), F.coalesce("_o", strategies.generic(V.trimmed(F.col("_v")), seed)))
-        out = out.drop(c).join(rows.select(order, rest.alias(c)), order)
+            table = _names(own, p.kind, seed)
+        rest = strategies.blank_kept(v, F.coalesce("_o", strategies.generic(V.trimmed(v), seed)))
+        out = out.withColumn("_k", V.identity_key(v)).join(table, "_k", "left").withColumn(c, rest).drop("_k", "_o")
     return out.select(order, *columns)
 
 
