@@ -7,6 +7,8 @@ column expression, so that it can come from a one-row table and needs no place i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def blank_kept(v: Column, out: Column) -> Column:
     return F.when(V.is_empty(V.trimmed(v)), v).otherwise(out)
 
 
+def _once(v: Column, out: Callable[[Column], Column]) -> Column:
+    """blank_kept over the trimmed value, which is computed once a row."""
+    return V.let(V.trimmed(v), lambda t: F.when(V.is_empty(t), v).otherwise(out(t)))
+
+
 def column_label(header: str, index: int) -> str:
     """Runs of letters and digits in upper case, joined by _, cut where 40 characters are reached."""
     out, gap = "", False
@@ -185,8 +192,8 @@ def expression(v: Column, kind: str, strategy: str, header: str, index: int, see
     if strategy == "redact":
         return blank_kept(v, F.lit(marker or placeholder(header, index, kind)))
     if strategy == "tokenize":
-        return blank_kept(v, token(t, seed, header, index))
+        return _once(v, lambda t: token(t, seed, header, index))
     if strategy == "label" or kind in ("email", "firstName", "lastName", "fullName"):
         return None
     shaped = {"uuid": uuid, "timestamp": timestamp, "phone": phone, "numericId": numeric_id, "numericValue": numeric_value}.get(kind)
-    return blank_kept(v, F.coalesce(shaped(t, seed), generic(t, seed)) if shaped else generic(t, seed))
+    return _once(v, lambda t: F.coalesce(shaped(t, seed), generic(t, seed)) if shaped else generic(t, seed))
