@@ -5,6 +5,8 @@ or ``://``) by ``<*>``. Its place in the tree is of fixed depth: the number of t
 `depth` tokens as the template has them; the leaf holds the templates of that path. A template that occurs in `least`
 documents or more is recurring: its lines go from every document but the one with the smallest doc_id, so that no
 content goes altogether. Templates without a constant token, and blank lines, never recur.
+With `longer`, lines of over so many tokens only are compared, token for token and without variable fields, so that
+`least` can be 2: lines that differ in their numbers are then different ones.
 
 Counts come from all documents, one row for each document and template, summed in each part before the exchange. The
 recurring templates are met with the documents' own under a salted key, as one may be in a third of all documents.
@@ -50,14 +52,14 @@ class Lines:
     node is a hash of the path to the leaf (token count and leading tokens), leaf one of the whole template.
     """
 
-    def __init__(self, texts: list[bytes], depth: int = 2):
+    def __init__(self, texts: list[bytes], depth: int = 2, longer: int | None = None):
         words = Words(texts)
         count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         b = words.buf
         odd = ((b >= 0x30) & (b <= 0x39)) | (b == 0x40) | (b == 0x22)
         odd[: max(len(b) - 2, 0)] |= (b[:-2] == 0x3A) & (b[1:-1] == 0x2F) & (b[2:] == 0x2F) if len(b) > 2 else False
         flags, breaks = count(odd), count(b == 0x0A)
-        variable = flags[words.end] > flags[words.start]
+        variable = flags[words.end] > flags[words.start] if longer is None else np.zeros(len(words), bool)
         h = np.where(variable, U(0x5BD1E995), words.hashes())
         number = breaks[words.start]
         at = runs(number)
@@ -67,7 +69,7 @@ class Lines:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_BASE, len(h)), dtype=np.uint64)])
         span = lambda a, z: (sums[z] - sums[a]) * powers(_INVERSE, max(len(h), 1))[a]
         constant = count(~variable)
-        keep = constant[start + n] > constant[start]
+        keep = (constant[start + n] > constant[start]) & (n > (longer or 0))
         start, n = start[keep], n[keep]
         self.node = mix(span(start, start + np.minimum(n, depth)) + mix(n.astype(np.uint64))).view(np.int64)
         self.leaf = mix(span(start, start + n) ^ U(0xA5A5A5A5)).view(np.int64)
@@ -86,12 +88,12 @@ class Lines:
 _KEYS = "a long, b long, n long, first long"
 
 
-def recurring(docs: DataFrame, least: int = 10, depth: int = 2) -> DataFrame:
+def recurring(docs: DataFrame, least: int = 10, depth: int = 2, longer: int | None = None) -> DataFrame:
     """(a, b, n, first): keys of recurring templates, in how many documents, and the smallest doc_id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
-            lines, ids = Lines(texts, depth), part.column(0).fill_null(NO_DOC).to_numpy()
+            lines, ids = Lines(texts, depth, longer), part.column(0).fill_null(NO_DOC).to_numpy()
             own = lines.distinct()
             a, b, doc = lines.node[own], lines.leaf[own], ids[lines.doc[own]]
             order = np.lexsort((doc, b, a))
@@ -105,13 +107,13 @@ def recurring(docs: DataFrame, least: int = 10, depth: int = 2) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= least)
 
 
-def dropped(docs: DataFrame, least: int = 10, depth: int = 2, salts: int = 16) -> DataFrame:
+def dropped(docs: DataFrame, least: int = 10, depth: int = 2, salts: int = 16, longer: int | None = None) -> DataFrame:
     """docs with text without its recurring lines, and n_lines, n_dropped; text is null where it was."""
-    known = written(recurring(docs, least, depth), "templates").select("a", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    known = written(recurring(docs, least, depth, longer), "templates").select("a", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
-            lines = Lines(texts, depth)
+            lines = Lines(texts, depth, longer)
             own = lines.distinct()
             doc = lines.doc[own]
             ids, key = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -132,7 +134,7 @@ def dropped(docs: DataFrame, least: int = 10, depth: int = 2, salts: int = 16) -
                 texts, gone = part.column(at).to_pylist(), [0] * part.num_rows
                 lines = [t.count("\n") + 1 if t else 0 for t in texts]
                 hit = [(i, {(k["a"], k["b"]) for k in keys}) for i, keys in enumerate(part.column(len(names)).to_pylist()) if keys]
-                found = Lines([texts[i].encode() for i, _ in hit], depth)
+                found = Lines([texts[i].encode() for i, _ in hit], depth, longer)
                 drop: list[set[int]] = [set() for _ in hit]
                 for d, line, key in zip(found.doc.tolist(), found.line.tolist(), zip(found.node.tolist(), found.leaf.tolist(), strict=True), strict=True):
                     if key in hit[d][1]:

@@ -28,3 +28,14 @@ def test_clashing_columns(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_long_lines_of_two_documents(spark):
+    shared = " ".join(f"common{'abcdefghijklmnop'[i % 16] * (1 + i // 16)}" for i in range(60))
+    own = lambda d: "\n".join(" ".join(f"{d}{'abcdefghijklmnop'[i % 16] * (1 + i // 16)}" for i in range(k, k + 40)) for k in (0, 40, 80))
+    rows = [(1, own("x") + "\n" + shared + "\nThe end"), (2, shared + "\n" + own("y") + "\nThe end"), (3, own("z") + "\nprices " + "1 " * 20), (4, own("w") + "\nprices " + "2 " * 20), (5, own("z") + "\nprices " + "1 " * 19 + "3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (1, 2):
+        docs = corpus_pipeline.STAGES[k][1](spark, docs, DATA)
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {1: rows[0][1], 2: own("y") + "\nThe end", 3: rows[2][1], 4: rows[3][1]}
