@@ -37,7 +37,7 @@ def messages(rows: DataFrame) -> DataFrame:
     return plain.withColumns({"calls": calls, "result_of": F.when((F.col("role") == "tool") & maybe, F.get_json_object("text", "$.tool_call_id"))})
 
 
-def linked(found: DataFrame, schemas: DataFrame | None = None, rounds: int = 30) -> DataFrame:
+def linked(found: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """(conv_id, id, level, result_turn, valid, name) of each call id. schemas: (name, required array<string>, types map<string,string>)."""
     calls = found.where("size(calls) > 0").select("conv_id", "turn", F.explode("calls").alias("c"))
     calls = calls.groupBy("conv_id", F.col("c.id").alias("id")).agg(F.min("turn").alias("turn"), F.min_by("c.name", "turn").alias("name"), F.min_by("c.arguments", "turn").alias("arguments"))
@@ -48,14 +48,15 @@ def linked(found: DataFrame, schemas: DataFrame | None = None, rounds: int = 30)
     needs = calls.select("conv_id", F.col("id").alias("later"), F.explode(F.array_distinct(named)).alias("id"))
     needs = written(needs.join(calls.select("conv_id", "id"), ["conv_id", "id"]).select("conv_id", "id", "later"), "needs")
     level = calls.select("conv_id", "id").join(needs.select("conv_id", F.col("later").alias("id")).distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0))
-    level = written(level, "levels")
-    for k in range(1, rounds + 1):  # those whose needs all have a level
-        open_ = needs.join(level.select("conv_id", F.col("id").alias("later")), ["conv_id", "later"], "left_anti")
-        ready = open_.join(level, ["conv_id", "id"], "left").groupBy("conv_id", "later").agg(F.count_if(F.col("level").isNull()).alias("wait"))
-        new = written(ready.where("wait = 0").select("conv_id", F.col("later").alias("id"), F.lit(k).alias("level")), "levels")
-        if new.isEmpty():
-            break
-        level = level.union(new)
+    level = new = written(level, "levels")
+    k = 0
+    while not new.isEmpty():  # the last need that gets its level makes a call ready
+        k += 1
+        met = needs.join(new.select("conv_id", "id"), ["conv_id", "id"]).select("conv_id", "later").distinct()
+        open_ = needs.join(met, ["conv_id", "later"]).join(level.select("conv_id", "id", "level"), ["conv_id", "id"], "left")
+        ready = open_.groupBy("conv_id", "later").agg(F.count_if(F.col("level").isNull()).alias("wait")).where("wait = 0")
+        new = written(ready.select("conv_id", F.col("later").alias("id"), F.lit(k).alias("level")), "levels")
+        level = level.union(new) if k % 20 else written(level.union(new), "levels")
     out = calls.join(answered, ["conv_id", "id"], "left").join(level, ["conv_id", "id"], "left")
     if schemas is None:
         valid = F.expr("try_parse_json(arguments) is not null and json_object_keys(arguments) is not null")

@@ -38,3 +38,12 @@ def test_empty(spark):
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")] * 3, "conv_id long, turn long, role string, text string")
     assert chat.formatted(df).count() == 3
+
+
+def test_long_chains(spark):
+    n = 45
+    rows = [(1, i, "assistant", json.dumps({"tool_calls": [call(f"c{i}", **({"x": f"$c{i - 1}", "y": f"$c{i // 2}"} if i else {}))]})) for i in range(n)]
+    rows += [(1, n, "assistant", json.dumps({"tool_calls": [call("p", x="$q"), call("q", x="$p", y="$c3"), call("r", x="$q")]}))]
+    found = chat.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.id: r.level for r in chat.linked(found).collect()}
+    assert got == {**{f"c{i}": i for i in range(n)}, "p": None, "q": None, "r": None}
