@@ -152,7 +152,7 @@ def decide(header: str, index: int, c: dict, postal: dict[str, int] | None = Non
 
 
 def profiled(df: DataFrame, names: list[str] | None = None) -> list[Profile]:
-    """A profile of each column of df (a sample) under its header; only aggregates reach the driver."""
+    """A profile of each column of df, from all its rows, under its header; only aggregates reach the driver."""
     columns, names = df.columns, names or df.columns
     cells = long_form(df, columns)
     counts = {r["col"]: r.asDict() for r in votes(cells).collect()}

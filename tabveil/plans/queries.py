@@ -403,8 +403,8 @@ def q_column_profiles(spark, folder):
     rows = []
     for t in ("customer", "orders", "nation", "part"):
         df = table(spark, folder, t)
-        sample = df.select([F.col(c).cast("string").alias(c) for c in df.columns]).limit(10_000)
-        rows += [(t, p.header, p.kind, p.confidence, p.risk, p.strategy) for p in profile.profiled(sample)]
+        cells = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+        rows += [(t, p.header, p.kind, p.confidence, p.risk, p.strategy) for p in profile.profiled(cells)]
     return spark.createDataFrame(rows, "tbl string, col string, kind string, confidence string, risk string, strategy string")
 
 

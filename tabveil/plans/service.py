@@ -15,7 +15,7 @@ from tabveil.functions.blake3 import token_udf
 from tabveil.operators import audit, distribution, profile, smart, strategies, uniqueness
 from tabveil.sources import csvfile
 
-SAMPLE_LEAST, SAMPLE_MOST, PREVIEW_MOST = 100, 10_000, 100
+PREVIEW_MOST = 100
 #: What a pseudonym still tells, by type; types not here keep nothing of their subject.
 DISCLOSURES = {
     "email": "the domain behind the @ stays", "timestamp": "the time of day stays, and the date moves by a year at most", "phone": "number and grouping of the digits stay", "numericId": "the number of digits and leading zeros stay",
@@ -54,13 +54,13 @@ def disposition(p: profile.Profile) -> str:
     return "testedBenign" if p.kind not in ("string", "unknown") and p.confidence != "low" and sum(c.isalnum() for c in p.header) >= 3 else "uncertain"
 
 
-def planned(df: DataFrame, names: list[str] | None = None, sample_rows: int = SAMPLE_MOST) -> list[ColumnPlan]:
-    """A plan for each column from a sample; headers that read alike are ambiguous."""
+def planned(df: DataFrame, names: list[str] | None = None) -> list[ColumnPlan]:
+    """A plan for each column from all rows; headers that read alike are ambiguous."""
     names = names or df.columns
-    sample = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).limit(max(SAMPLE_LEAST, min(sample_rows, SAMPLE_MOST)))
+    cells = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     labels = [strategies.column_label(n, i) for i, n in enumerate(names)]
     out = []
-    for p, name, label in zip(profile.profiled(sample, names), names, labels, strict=True):
+    for p, name, label in zip(profile.profiled(cells, names), names, labels, strict=True):
         best = max((e for e in p.evidence), key=lambda e: _priority(e[0]), default=None)
         mark = strategies.placeholder(name, p.index, p.kind, best and best[0], p.kind, labels.count(label) > 1)
         out.append(ColumnPlan(name, p.index, p.kind, p.risk, p.strategy, p.selected, mark, labels.count(label) > 1, p.evidence))

@@ -117,3 +117,9 @@ def test_stream_keeps_pseudonyms(spark, tmp_path):
     pseudonyms.run(spark.readStream.schema("user string, n int").parquet(str(src)), "user", *paths, "seed").awaitTermination()
     out = {r.n: r.user for r in spark.read.parquet(paths[1]).collect()}
     assert len(out) == 6 and out[1] == out[5] and out[2] == out[3] and len(set(out.values())) == 4
+
+
+def test_plans_see_all_rows(spark):
+    rows = spark.range(0, 30_000, 1, 1).select(F.when(F.col("id") >= 12_000, F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@mail.org"))).alias("note"), F.lit("open").alias("state"))
+    plans = service.planned(rows)
+    assert [(p.kind, p.selected) for p in plans] == [("email", True), ("enum", False)]
