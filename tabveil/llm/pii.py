@@ -90,9 +90,14 @@ def candidates(rows: DataFrame) -> DataFrame:
     return out.select("row", "start", "end", "value", "label", head.alias("head"), shape.alias("shape"), (base | ((F.length("value") >= 32) & mixed) | (shape.isin("hex", "upper") & (F.length("value") >= 16))).alias("seed"))
 
 
+def _of(sources: Column) -> Column:
+    """The patterns of a candidate from its columns of these names."""
+    return F.array_compact(F.array(*[F.when(F.array_contains(sources, c) & (F.col(c) != ""), F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("label", "head", "shape")]))
+
+
 def patterns(found: DataFrame, rounds: int = 3, prior: float = 2.0) -> DataFrame:
     """(pattern, score, n): the pattern-instance graph of candidates, scored in turn `rounds` times."""
-    of = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("label", "head", "shape")]))
+    of = _of(F.array(*[F.lit(c) for c in ("label", "head", "shape")]))
     instances = written(found.groupBy("value", "label", "head", "shape").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "instances")
     edges = instances.select("value", "seed", F.explode(of).alias("pattern")).distinct()
     score = F.when(F.col("seed"), 1.0).otherwise(0.0)
@@ -106,30 +111,22 @@ def patterns(found: DataFrame, rounds: int = 3, prior: float = 2.0) -> DataFrame
     return scored
 
 
-def found(docs: DataFrame, confidence: float = 0.6, least: int = 3) -> DataFrame:
-    """doc_id, n_email .. n_phone, n_id, base_sha256, spans (all kinds, sorted)."""
+def report(docs: DataFrame, confidence: float = 0.6, least: int = 3, salts: int = 16) -> DataFrame:
+    """doc_id, n_email .. n_phone, n_id, base_sha256, spans (all kinds, sorted): one row for each row of docs."""
     rows = whole_number(only(docs, doc_id="doc_id", text="text"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    kinds = base_spans(F.col("text"))
-    rows = rows.select("doc_id", "text", *[spans.alias(kind) for kind, spans in kinds.items()])
+    # Rows that share doc and key have the same text, and so the same spans.
+    keyed = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(-1)), "key": F.xxhash64("text")})
     struct = lambda kind, order: lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+    # The graph is built from the candidates of all documents; those with a good pattern are met under a salted key, as one pattern may have most of them.
+    maybe = written(candidates(keyed.select(F.struct("doc", "key").alias("row"), "text")), "candidates")
+    good = patterns(maybe).where((F.col("score") >= confidence) & (F.col("n") >= least))
+    good = good.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    taken = maybe.select("row.*", "start", "end", F.explode(_of(F.when(F.col("label") != "", F.array(F.lit("label"))).otherwise(F.array(F.lit("head"), F.lit("shape"))))).alias("pattern"))
+    taken = taken.withColumn("salt", F.pmod(F.xxhash64("doc", "key", "start"), F.lit(salts)).cast("int")).join(good, ["pattern", "salt"])
+    added = taken.groupBy("doc", "key").agg(F.collect_set(struct("id", len(KINDS))({"start": F.col("start"), "end": F.col("end")})).alias("added"))
+    kinds = base_spans(F.col("text"))
+    keyed = keyed.select("doc_id", "doc", "key", *[spans.alias(kind) for kind, spans in kinds.items()])
     base = F.concat(*[F.transform(kind, struct(kind, k)) for k, kind in enumerate(KINDS)])
-    # The graph is built from the candidates of all documents; what is then taken is found again in each row, which needs no key.
-    plain = docs.select(F.lit(0).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    good = patterns(candidates(plain)).where((F.col("score") >= confidence) & (F.col("n") >= least))
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), base.alias("base"), "text"), good
-
-
-def report(docs: DataFrame, confidence: float = 0.6, least: int = 3, most: int = 10_000) -> DataFrame:
-    """One row for each row of docs. Of the patterns of high confidence the `most` frequent serve; they are a table of fixed size."""
-    rows, good = found(docs, confidence, least)
-    top = F.broadcast(good.orderBy(F.desc("n"), "pattern").limit(most).agg(F.collect_set("pattern").alias("good")))
-    text = F.col("text")
-    labelled = F.filter(matches(text, LABELLED, text.rlike("[=:]")), lambda s: F.array_contains("good", F.concat(F.lit("label:"), F.regexp_replace(F.lower(F.regexp_extract(s["value"], r"^([A-Za-z_-]+ ?[=:])", 1)), " ", ""))))
-    labelled = F.transform(labelled, lambda s: F.struct((s["end"] - F.length(F.regexp_replace(s["value"], r"^[A-Za-z_-]+ ?[=:] ?[\"']?", ""))).alias("start"), F.lit(len(KINDS)).alias("order"), s["end"].alias("end"), F.lit("id").alias("kind")))
-    head = lambda s: F.concat(F.lit("head:"), F.regexp_extract(s["value"], "^[A-Z]{3,4}", 0))
-    hexed = lambda s: F.when(s["value"].rlike("^[0-9a-f]{12,}$"), "shape:hex").when(s["value"].rlike("^[A-Z0-9]{12,}$"), "shape:upper").otherwise("shape:mixed")
-    tokens = F.filter(matches(text, TOKEN, text.rlike("[0-9]")), lambda s: F.array_contains("good", head(s)) | F.array_contains("good", hexed(s)))
-    tokens = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("order"), s["end"].alias("end"), F.lit("id").alias("kind")))
-    added = F.array_distinct(F.concat(labelled, tokens))
-    out = rows.crossJoin(top).select("*", added.alias("added"))
+    keyed = keyed.select("doc_id", "doc", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), base.alias("base"))
+    out = keyed.join(added, ["doc", "key"], "left").withColumn("added", F.coalesce("added", F.array().cast(added.schema["added"].dataType)))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.size("added").cast("long").alias("n_id"), "base_sha256", _joined(F.concat("base", "added")).alias("spans"))

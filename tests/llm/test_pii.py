@@ -33,3 +33,12 @@ def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f'the token = "{h}" of a b') for i, h in enumerate(hexes)] + [(100 + i, f"and password={h[:18]} too") for i, h in enumerate(hexes)] + [(200, "and password=letters-only too"), (201, "plain words, nothing = here")]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == "id:13:53" and got[100] == "id:13:31" and got[200] == "id:13:25" and got[201] == ""
+
+
+def test_any_number_of_patterns(spark):
+    from pyspark.sql import functions as F
+
+    # 11,000 labels in letters only, each with three seeds.
+    name = lambda c: F.translate(F.lpad(c.cast("string"), 5, "0"), "0123456789", "abcdefghij")
+    rows = spark.range(33_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the "), name(F.floor(F.col("id") / 3)), F.lit("="), F.format_string("u%d@mail.org", "id")).alias("text"))
+    assert pii.report(rows).where("n_id = 0").count() == 0
