@@ -6,17 +6,18 @@ same length, so that the pattern needs no group and runs in linear time and cons
 from the lengths between and of the matches, in code points.
 
 The method adds the kind ``id``. Candidates are values behind a label (``password=...``, ``token = "..."``) and long
-tokens that mix letters and digits. Each has lexical patterns: its label, the letters it begins with, and its
+tokens that mix letters and digits, also in quotes, behind = or before a full stop, and of any length. Each has lexical patterns: its label, the letters it begins with, and its
 shape. Seeds are base entities and long mixed tokens; pattern and candidate scores are computed in turn: a
 pattern has the mean score of its candidates, drawn towards 0 when there are few, and a candidate that is no
-seed has the best score of its patterns. Patterns of high confidence then take all their candidates.
+seed has the best score of its patterns. Patterns of high confidence then take all their candidates; of nested
+spans the outer one counts.
 
 Cases: null and empty texts have no spans; repeated rows and null doc_ids keep a row each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import only, whole_number, written
@@ -28,8 +29,8 @@ EMAIL = f"(?:(?<![A-Za-z0-9._%+{_DOT}-])|\\G)[A-Za-z0-9._%+{_DOT}-]++@[A-Za-z0-9
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = f"[0-9][0-9{_GAP}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LABELLED = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z_-]{2,30}+ ?[=:] ?[\"']?[^\s\"'=:,;<>]{6,200}"
-TOKEN = r"(?<![A-Za-z0-9_=\"'])(?=[A-Za-z]{0,40}[0-9])(?=[0-9]{0,40}[A-Za-z])[A-Za-z0-9]{16,200}+(?![A-Za-z0-9_@.])"
+LABELLED = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z_-]{2,30}+ ?[=:] ?[\"']?[^\s\"'=:,;<>]{6,}+"
+TOKEN = r"(?<![A-Za-z0-9_])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+(?![A-Za-z0-9_@]|\.[A-Za-z0-9])"
 _BLOCK = 256
 
 
@@ -90,16 +91,15 @@ def candidates(rows: DataFrame) -> DataFrame:
     return out.select("row", "start", "end", "value", "label", head.alias("head"), shape.alias("shape"), (base | ((F.length("value") >= 32) & mixed) | (shape.isin("hex", "upper") & (F.length("value") >= 16))).alias("seed"))
 
 
-def _of(sources: Column) -> Column:
-    """The patterns of a candidate from its columns of these names."""
-    return F.array_compact(F.array(*[F.when(F.array_contains(sources, c) & (F.col(c) != ""), F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("label", "head", "shape")]))
+def _of() -> Column:
+    """The patterns of a candidate."""
+    return F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("label", "head", "shape")]))
 
 
 def patterns(found: DataFrame, rounds: int = 3, prior: float = 2.0) -> DataFrame:
     """(pattern, score, n): the pattern-instance graph of candidates, scored in turn `rounds` times."""
-    of = _of(F.array(*[F.lit(c) for c in ("label", "head", "shape")]))
     instances = written(found.groupBy("value", "label", "head", "shape").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "instances")
-    edges = instances.select("value", "seed", F.explode(of).alias("pattern")).distinct()
+    edges = instances.select("value", "seed", F.explode(_of()).alias("pattern")).distinct()
     score = F.when(F.col("seed"), 1.0).otherwise(0.0)
     edges = edges.withColumn("score", score)
     for k in range(rounds):
@@ -121,8 +121,11 @@ def report(docs: DataFrame, confidence: float = 0.6, least: int = 3, salts: int
     maybe = written(candidates(keyed.select(F.struct("doc", "key").alias("row"), "text")), "candidates")
     good = patterns(maybe).where((F.col("score") >= confidence) & (F.col("n") >= least))
     good = good.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    taken = maybe.select("row.*", "start", "end", F.explode(_of(F.when(F.col("label") != "", F.array(F.lit("label"))).otherwise(F.array(F.lit("head"), F.lit("shape"))))).alias("pattern"))
+    taken = maybe.select("row.*", "start", "end", F.explode(_of()).alias("pattern"))
     taken = taken.withColumn("salt", F.pmod(F.xxhash64("doc", "key", "start"), F.lit(salts)).cast("int")).join(good, ["pattern", "salt"])
+    # A token inside a labelled value, and a candidate that several patterns took, are one span.
+    before = Window.partitionBy("doc", "key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    taken = taken.withColumn("reach", F.max("end").over(before)).where("reach is null or end > reach")
     added = taken.groupBy("doc", "key").agg(F.collect_set(struct("id", len(KINDS))({"start": F.col("start"), "end": F.col("end")})).alias("added"))
     kinds = base_spans(F.col("text"))
     keyed = keyed.select("doc_id", "doc", "key", *[spans.alias(kind) for kind, spans in kinds.items()])

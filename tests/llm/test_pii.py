@@ -42,3 +42,12 @@ def test_any_number_of_patterns(spark):
     name = lambda c: F.translate(F.lpad(c.cast("string"), 5, "0"), "0123456789", "abcdefghij")
     rows = spark.range(33_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the "), name(F.floor(F.col("id") / 3)), F.lit("="), F.format_string("u%d@mail.org", "id")).alias("text"))
     assert pii.report(rows).where("n_id = 0").count() == 0
+
+
+def test_heads_and_shapes_take_labelled_values(spark):
+    keys = ["AKIA" + hashlib.sha1(str(i).encode()).hexdigest().upper()[:16] for i in range(14)]
+    long = "".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(8))
+    texts = [f"a key {k} here" for k in keys[:10]] + [f"rare={keys[10]} x", f'a "{keys[11]}" x', f"the key is {keys[12]}.", f"x={keys[13]} y", f"a {long} b", f"token={long} b", f"see file{keys[0]}.txt and {keys[0]}@x"] + [f"b {long[k : k + 40]} c" for k in range(4)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = lambda i, value: f"id:{texts[i].index(value)}:{texts[i].index(value) + len(value)}"
+    assert [got[i] for i in range(17)] == [*[at(i, keys[i]) for i in range(10)], *[at(k, keys[k]) for k in range(10, 14)], at(14, long), at(15, long), ""]
