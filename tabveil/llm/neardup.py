@@ -13,7 +13,11 @@ The sets' sizes and the share of equal minima rule out most pairs that cannot be
 `best` are compared on the full sets first; then, round by round, the pairs that still lie between two components,
 and each class that met a crowded component in a region with that component's hubs: those of its classes whose
 signatures agree most with its commonest minima, as the text that all are edits of would.
-So every candidate is either compared or joins what is joined already, and no link is lost for a limit.
+So every candidate is either compared or joins what is joined already.
+
+Pairs of a crowded region that are no candidates are met by their rare shingles: the shingle sets of all classes in
+crowded regions go through an exact prefix filter, for classes of different components only. Of what it finds, the
+signatures again rule out most; those of a pair at the threshold agree in `likely` of the minima but for one in 5,000.
 
 Two documents at the threshold itself meet in some region with probability 1 - (1 - 0.75**3)**20 > 0.99998.
 
@@ -82,8 +86,8 @@ def signatures(docs: DataFrame, size: int = 5, trees: int = TREES, depth: int =
     return only(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sign, "doc_id long, n_shingles long, a long, b long, signature binary")
 
 
-def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75) -> DataFrame:
-    """(u, v) of classes (doc_id, n_shingles, signature) that meet in the forest; u comes later in some order than v."""
+def planted(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER) -> DataFrame:
+    """(region, rest, doc_id, n): the place of each class in each tree."""
     width = 4 * trees * depth
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +105,11 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deepe
                 order = [x.tobytes() for x in m[:, at + 4 * depth : at + 4 * (depth + deeper)]]
                 yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(order, pa.binary()), b.column(0), b.column(1)], ["region", "rest", "doc_id", "n"])
 
+    return classes.select("doc_id", "n_shingles", "signature").mapInArrow(plant, "region long, rest binary, doc_id long, n long")
+
+
+def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75) -> DataFrame:
+    """(u, v) of classes (doc_id, n_shingles, signature) that meet in the forest; u comes later in some order than v."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by region and rest. State: the last `near` classes of the region, and the first class of each shared prefix."""
         region, last, leaders, us, vs = None, [], [], [], []
@@ -129,8 +138,7 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deepe
                 vs.clear()
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    planted = classes.select("doc_id", "n_shingles", "signature").mapInArrow(plant, "region long, rest binary, doc_id long, n long")
-    found = planted.repartition("region").sortWithinPartitions("region", "rest", "doc_id").mapInArrow(walk, "u long, v long")
+    found = planted(classes, trees, depth, deeper).repartition("region").sortWithinPartitions("region", "rest", "doc_id").mapInArrow(walk, "u long, v long")
     return found.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("u").alias("u"), F.min("v").alias("v")).select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
 
 
@@ -183,6 +191,38 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(alike, "u long, v long, share double")
 
 
+def missed(classes: DataFrame, found: DataFrame, docs: DataFrame, size: int = 5, threshold: int = 75, near: int = 8) -> DataFrame:
+    """(u, v) of different components, both in crowded regions, that have a rare shingle in common; no pair at the threshold has none.
+
+    With each class's shingles in one order, rarest first, two sets at the threshold t share one of the first n - ceil(2 t n / (1 + t)) + 1
+    of the smaller and the first n - ceil(t n) + 1 of the larger. Components are paired before their classes, so that a large one costs
+    its size for each class that is not in it, not its square.
+    """
+    places = planted(classes).select("region", "doc_id")
+    crowded = places.join(places.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > near + 1).select("region"), "region").select("doc_id").distinct()
+    of = classes.select("doc_id", "n_shingles").join(crowded, "doc_id").join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    of = written(of, "crowded")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches, "text", 800_000):
+            doc, value = shingles(texts, size)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(value.view(np.int64))], ["doc_id", "value"])
+
+    texts = only(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")).join(of.select("doc_id"), "doc_id", "left_semi")
+    sets = written(texts.mapInArrow(cut, "doc_id long, value long"), "sets")
+    counted = sets.join(sets.groupBy("value").agg(F.count("*").alias("m")), "value").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("m", "value"))).alias("sorted")).join(of, "doc_id")
+    first = lambda up, down: (F.col("n_shingles") - F.ceil(F.col("n_shingles") * up / down) + 1).cast("int")
+    rows = counted.select("doc_id", "n_shingles", "component", first(2 * threshold, 100 + threshold).alias("few"), F.posexplode(F.slice("sorted", F.lit(1), first(threshold, 100))).alias("at", "s"))
+    rows = written(rows.where("s.m > 1").select(F.col("s.value").alias("value"), "doc_id", "n_shingles", "component", "at", (F.col("at") < F.col("few")).alias("small")), "prefixes")
+    side = lambda c, d: d.select("value", F.col("component").alias(f"{c}c"), F.col("doc_id").alias(c), F.col("n_shingles").alias(f"{c}n"), (F.col("n_shingles") - F.col("at")).alias(f"{c}r"))
+    u, v = side("u", rows.where("small")), side("v", rows)
+    met = u.select("value", "uc").distinct().join(v.select("value", "vc").distinct(), "value").where("uc <> vc")
+    # From the first shingle that two sets share, each must have enough left for the intersection.
+    enough = (100 + threshold) * F.least("ur", "vr") >= threshold * (F.col("un") + F.col("vn"))
+    pairs = met.join(u, ["value", "uc"]).join(v, ["value", "vc"]).where((F.col("un") <= F.col("vn")) & (100 * F.col("un") >= threshold * F.col("vn")) & enough)
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3, rounds: int = 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     signed = written(signatures(docs, size), "signatures")
@@ -210,6 +250,9 @@ def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3,
         if more.isEmpty():
             break
         links = links.union(more)
+    more = written(confirmed(_alike(missed(classes, found, docs, size, threshold), classes, likely).select("u", "v"), docs, size, threshold), "links")
+    if not more.isEmpty():
+        found = written(components(links.union(more)), "components")
     of_class = classes.select("a", "b", F.col("doc_id").alias("u")).join(found, "u", "left").select("a", "b", F.coalesce("component", "u").alias("component"))
     out = signed.select("doc_id", "n_shingles", "a", "b").join(of_class, ["a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))

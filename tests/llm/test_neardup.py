@@ -52,3 +52,20 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (200, 201)]
     got = {r.u: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), 105: 100, 103: 100, 201: 200}
+
+
+def test_crowded_regions(spark):
+    # 300 texts with 160 of 200 shingles in common do not link; 20 have a copy at similarity 0.786 each.
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    common = [word() for _ in range(164)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(40)]
+        rows.append((1000 + i, " ".join(common + own)))
+        if i < 20:
+            rows.append((i, " ".join(common + own[:16] + [word() for _ in range(24)])))
+    r.shuffle(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows)
+    assert all(got[1000 + i][1] == i for i in range(20))
