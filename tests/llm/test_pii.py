@@ -44,10 +44,29 @@ def test_any_number_of_patterns(spark):
     assert pii.report(rows).where("n_id = 0").count() == 0
 
 
-def test_heads_and_shapes_take_labelled_values(spark):
+def test_heads_take_labelled_values(spark):
     keys = ["AKIA" + hashlib.sha1(str(i).encode()).hexdigest().upper()[:16] for i in range(14)]
-    long = "".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(8))
-    texts = [f"a key {k} here" for k in keys[:10]] + [f"rare={keys[10]} x", f'a "{keys[11]}" x', f"the key is {keys[12]}.", f"x={keys[13]} y", f"a {long} b", f"token={long} b", f"see file{keys[0]}.txt and {keys[0]}@x"] + [f"b {long[k : k + 40]} c" for k in range(4)]
+    long = "".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(125))
+    texts = [f"a secret={k} here" for k in keys[:10]] + [f"rare={keys[10]} x", f'a "{keys[11]}" x', f"the key is {keys[12]}.", f"x={keys[13]} y", f"a --{'very-' * 20}api-key: {long} b", f"token={long} b", f"see file{keys[0]}.txt and {keys[0]}@x"]
+    texts += [f"a {'_'.join(['deep'] * 12)}_token={k} b" for k in keys[:3]]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     at = lambda i, value: f"id:{texts[i].index(value)}:{texts[i].index(value) + len(value)}"
-    assert [got[i] for i in range(17)] == [*[at(i, keys[i]) for i in range(10)], *[at(k, keys[k]) for k in range(10, 14)], at(14, long), at(15, long), ""]
+    assert len(long) == 5000
+    assert [got[i] for i in range(14)] == [*[at(i, keys[i]) for i in range(10)], *[at(k, keys[k]) for k in range(10, 14)]]
+    assert [got[i] for i in range(15, 20)] == [at(15, long), "", *[at(17 + i, keys[i]) for i in range(3)]]
+
+
+def test_hashes_of_commits_stay(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, f"fixed in commit {h} of main") for i, h in enumerate(hexes[:20])] + [(100 + i, f"commit: {h}") for i, h in enumerate(hexes[:20])] + [(200 + i, f'token = "{h}"') for i, h in enumerate(hexes[20:30])]
+    # A value known by its label teaches the word left of it.
+    rows += [(300 + i, f"unlock with {h} then") for i, h in enumerate(hexes[20:28])] + [(400, f"unlock with {hexes[39]} then")]
+    got = {r.doc_id: (r.spans, r.n_found) for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == ("", 0) for i in (*range(20), *range(100, 120)))
+    assert all(got[200 + i] == ("id:9:49", 1) for i in range(10)) and all(got[300 + i] == ("id:12:52", 1) for i in range(8)) and got[400] == ("id:12:52", 1)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdef123", "x", 1), (1, "token=abcdef124", "y", 2), (2, "password=abcdef123", None, 3)] * 2, "doc_id long, text string, good string, base int")
+    got = sorted((r.doc_id, r.spans) for r in pii.report(df).collect())
+    assert len(got) == 6 and pii.report(df).columns[0] == "doc_id"
