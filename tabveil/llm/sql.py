@@ -13,11 +13,17 @@ WITH t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FR
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN found USING (doc_id)
 """
 
+# Templates of a line: as it is, and with one or two of its four blocks (bits of s) left out; token for token, if it has over ten tokens.
 LINES = f"""
 WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
- k AS (SELECT doc_id, line, i, list_transform(regexp_extract_all(line, '{WORD}'), lambda t: CASE WHEN regexp_matches(t, '[0-9@"]|://') THEN '<*>' ELSE t END) AS tokens FROM l),
- r AS (SELECT tokens, min(doc_id) AS first FROM k WHERE len(list_filter(tokens, lambda t: t <> '<*>')) > 0 GROUP BY tokens HAVING count(DISTINCT doc_id) >= 10),
- m AS (SELECT k.doc_id, k.line, k.i, r.first IS NOT NULL AND r.first <> k.doc_id AS gone FROM k LEFT JOIN r USING (tokens)),
+ w AS (SELECT doc_id, line, i, regexp_extract_all(line, '{WORD}') AS ws FROM l),
+ k AS (SELECT doc_id, i, ws, list_transform(ws, lambda t: CASE WHEN regexp_matches(t, '[0-9@"]|://') THEN '<*>' ELSE t END) AS tokens FROM w),
+ g AS (SELECT doc_id, i, s, list_transform(tokens, lambda t, j: CASE WHEN s > 0 AND j > 1 AND (s >> ((4 * (j - 1) - 1) // greatest(len(tokens) - 1, 1))) & 1 = 1 THEN '<*>' ELSE t END) AS tokens FROM k, (SELECT unnest([0, 1, 2, 4, 8, 3, 5, 9, 6, 10, 12]) AS s)),
+ c AS (SELECT *, len(list_filter(tokens, lambda t: t <> '<*>')) AS n FROM g),
+ t AS (SELECT doc_id, i, tokens, 10 AS least FROM c WHERE n > 0 AND (s = 0 OR 10 * n >= 6 * len(tokens)) UNION ALL SELECT doc_id, i, ws, 2 FROM k WHERE len(ws) > 10),
+ r AS (SELECT tokens, least, min(doc_id) AS first FROM t GROUP BY tokens, least HAVING count(DISTINCT doc_id) >= least),
+ gone AS (SELECT DISTINCT doc_id, i FROM t JOIN r USING (tokens, least) WHERE first <> doc_id),
+ m AS (SELECT w.doc_id, w.line, w.i, gone.i IS NOT NULL AS gone FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i),
  f AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN f USING (doc_id)
 """
