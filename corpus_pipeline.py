@@ -15,18 +15,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates after the first; n_chars follows the text."""
-    return _without_lines(docs, least=10)
+    """All documents, without the lines of recurring templates and without repeated long lines, each but in its first document; n_chars follows the text.
 
+    A document that would lose over half of its words is a copy and stays whole, for the next stage to judge.
+    """
+    own, back = aside(docs, ["n_lines", "n_dropped", "_gone", "_doc", "_key"])
+    return _with_length(lines.dropped(own, copies=0.5).drop("n_lines", "n_dropped").withColumnsRenamed(back), docs)
 
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Of what is left, a line of over ten words stays in its first document only.
 
-    The lines follow the near copies, which must be met whole; shorter lines recur by chance and go by `least` above only.
-    """
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
     gone = neardup.clusters(docs).where("not kept").select("doc_id").distinct()
-    left = written(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), "left")
-    return _without_lines(left, least=2, longer=10)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +39,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-def _without_lines(docs: DataFrame, **how: int) -> DataFrame:
-    own, back = aside(docs, ["n_lines", "n_dropped", "_gone", "_doc", "_key"])
-    return _with_length(lines.dropped(own, **how).drop("n_lines", "n_dropped").withColumnsRenamed(back), docs)
-
-
 def _with_length(out: DataFrame, docs: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
