@@ -2,23 +2,28 @@
 
 Vectors of any length are put on a sphere (one more component fills them up to the longest), where the largest
 inner product is the smallest angle. Each tree splits a bounded sample (`sample` vectors, those with the smallest
-hash of vec_id) at the median of random directions down to `leaf` vectors; every vector is then indexed in each
-tree. A query walks all trees through one priority queue, nearest margin first, until it has `visits` leaves: as
+hash of vec_id) at the median of random directions, as deep as leaves of some `leaf` vectors of the whole table need (but
+for leaves of under eight vectors of the sample); every vector is then indexed in each
+tree. A query walks all trees through one priority queue, nearest border first (the squares of the margins on the way
+are summed, as random directions are nearly at right angles), until it has `visits` leaves: as
 many as find the share `recall` of the true neighbours of 128 vectors of the sample within it, if not given.
 Leaves are blocks of vectors: a leaf with more than `block` is split, and its queries go to each part; in a part
-the queries' exact scores are one matrix product, of which the best `k` go on to the final ranking.
+the queries' scores are one matrix product; all that reach the k-th, ties included, are scored exactly, and the best `k` go
+on to the final ranking.
 
 Equal vectors are one: of each, only the `k` + 1 smallest vec_ids can be in a result, and the window that finds
 them limits each key before the exchange, so that a vector which a third of all rows share is no task's burden.
 
 Cases: vectors that are null or zero, or hold null or non-finite components, and rows with a null vec_id, take no
-part, nor do vectors whose dimension is not the commonest; repeated rows (the same vec_id) count once; with fewer
-candidates than `k` all are returned; an empty table gives an empty result.
+part, nor do vectors whose dimension is not the commonest (of ties the smaller); repeated rows (the same vec_id) count
+once; ties of the score go to the smaller vec_id; with fewer candidates than `k` all are returned; an empty table gives an
+empty result; vectors of any length are taken whole; extra columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,14 +80,14 @@ def search(trees: list[Tree], q: np.ndarray, visits: int) -> list[list[tuple[int
     margins = [q @ t.directions.T - t.thresholds for t in trees]
     out = []
     for i in range(len(q)):
-        queue = [(0.0, k, t.root) for k, t in enumerate(trees)]
+        queue = [(0.0, k, int(t.root)) for k, t in enumerate(trees)]
         found: list[tuple[int, int]] = []
         while queue and len(found) < visits:
             far, k, node = heapq.heappop(queue)
             while node >= 0:
-                m = margins[k][i, node]
+                m = float(margins[k][i, node])
                 near, other = trees[k].children[node][:: -1 if m >= 0 else 1]
-                heapq.heappush(queue, (max(far, abs(float(m))), k, int(other)))
+                heapq.heappush(queue, (far + m * m, k, int(other)))
                 node = int(near)
             found.append((k, ~node))
         out.append(found)
@@ -112,7 +117,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def neighbours(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4, leaf: int = 512, visits: int | None = None, recall: float = 0.97, sample: int = 32768, block: int = 4096, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 3, leaf: int = 512, visits: int | None = None, recall: float = 0.95, sample: int = 65536, block: int = 4096, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score. queries: a condition on vec_id."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -126,7 +131,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4,
     # A vec_id twice with two vectors counts with each; with the same vector, once.
     distinct = written(once.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
     asked = written(rows.where((F.size("v") == dim) & queries).dropDuplicates(["vec_id"]), "queries")
-    norm = distinct.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    norm, total = distinct.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
     fit = distinct.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").toArrow()
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -134,8 +139,10 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4,
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]], 1).astype(np.float32)
 
     points, rng = lifted(_matrix(fit.column("v"), dim)), np.random.default_rng(seed)
-    grown = [Tree(points, leaf, rng) for _ in range(trees)]
-    visits = visits or visits_for(grown, points, k, recall)
+    # Of the k nearest of all, the sample has its share.
+    share = len(points) / max(total, 1)
+    grown = [Tree(points, max(8, int(leaf * share)), rng) for _ in range(trees)]
+    visits = visits or visits_for(grown, points, max(1, math.ceil(k * share)), recall)
     forest = spark.sparkContext.broadcast(grown)  # bounded by sample / leaf
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +177,11 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 4,
             x, ids, q, query = _matrix(a.column("v"), dim), a.column("ids").to_pylist(), _matrix(b.column("q"), dim), b.column("query_id").to_pylist()
             for low in range(0, len(q), 256):
                 rough = q[low : low + 256] @ x.T
-                n = min(k + 5, len(x))
-                top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                for i, own in enumerate(top):
+                # k + 1 vectors have k ids besides the query's own; what ties with the last of them, but for rounding, counts too.
+                n = min(k + 1, len(x))
+                least = -np.partition(-rough, n - 1, axis=1)[:, n - 1] - 1e-9 * np.abs(rough).max(axis=1)
+                for i in range(len(rough)):
+                    own = np.flatnonzero(rough[i] >= least[i])
                     me, score = query[low + i], (x[own] * q[low + i]).sum(1)
                     found = sorted((-s, v) for s, j in zip(score.tolist(), own.tolist(), strict=True) for v in ids[j] if v != me)[:k]
                     out.append((me, [v for _, v in found], [-s for s, _ in found]))

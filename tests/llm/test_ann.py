@@ -32,3 +32,30 @@ def test_few(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(df, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 1, 1.5), (20, 2, 0, 1.0)]
     assert ann.neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ties_are_exact(spark):
+    rng = np.random.default_rng(11)
+    x = rng.choice([-1.0, 1.0], size=(400, 12))
+    rows = [(int(i), v.tolist(), int(i)) for i, v in zip(rng.permutation(400), x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id long")
+    by = {i: np.array(v) for i, v, _ in rows}
+    got = {}
+    for r in ann.neighbours(df, F.col("vec_id") % 20 == 0, visits=10_000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == 20
+    for q, found in got.items():
+        want = sorted((-float(by[i] @ by[q]), i) for i in by if i != q)[:20]
+        assert [(-s, v) for _, v, s in sorted(found)] == want
+
+
+def test_trees_deepen_with_the_table(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = 0
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, leaf=64, sample=600, block=50).collect():
+        s = x @ x[r.query_id]
+        s[r.query_id] = -np.inf
+        hits += s[r.vec_id] >= np.sort(s)[-20] - 1e-12
+    assert hits / (20 * 30) > 0.9
