@@ -9,7 +9,8 @@ to the grades' shares among all labelled rows.
 
 Cases: null and empty texts have no features and get the grades' shares at weight 0; null doc_ids are scored and
 teach nothing; with one grade, or without labels, every row has expected grade and tail of that grade (0 without);
-repeated rows get a row each; extra columns are ignored.
+repeated rows and ties of doc_id get a row each; an empty table gives an empty result; texts of any length are read whole;
+extra columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -81,11 +82,11 @@ def ordinal(indptr: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray
     return p[:size].astype(np.float32), p[size] + np.concatenate([[0], np.cumsum(np.exp(p[size + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", per_grade: int = 3000, size: int = 1 << 15, most_grades: int = 20) -> Grades:
-    """per_grade bounds the sample of labelled rows; size and most_grades bound the model."""
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", per_grade: int = 3000, size: int = 1 << 15) -> Grades:
+    """per_grade bounds the sample of labelled rows of each grade; size bounds the weights. A grade is one of a scale: its distinct values are few."""
     spark = docs.sparkSession
     known = only(labels, id="doc_id", y=grade).where(train_rows(F.col("id")) & F.col("y").isNotNull()).select("id", F.col("y").cast("double").alias("y")).distinct()
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most_grades).collect()}
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     grades = sorted(counts)
     if len(grades) < 2:
         return Grades(grades or [0.0], np.zeros(0), np.zeros(size, np.float32))
