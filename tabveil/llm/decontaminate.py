@@ -7,11 +7,13 @@ window cannot hold one, and is left out with everything else outside that vocabu
 array gives its Burrows-Wheeler transform, held as a wavelet tree; all windows are searched backward through it
 at once, and their places come from every 16th suffix position by walking back.
 
-The documents pass through in one scan, without a shuffle. Windows are sent to the executors in blocks of at
-most `block` items, whatever the number of items; each block is a step of the same scan.
+The documents pass through in one scan, without a shuffle. Windows are broadcast in blocks of some `block` bytes
+of benchmark text, as measured, whatever the size of the benchmark; each block is a step of the same scan.
 
-Cases: null texts and texts without words have no hits; null doc_ids and repeated rows keep a row each; an
-item without words is no window; an item with a null id hits but is not listed; an empty benchmark hits nothing.
+Cases: null texts and texts without words have no hits; null doc_ids, ties and repeated rows keep a row each; an
+item without words is no window; item ids of any type are taken as text; an item with a null id hits but is not listed; an empty benchmark hits nothing;
+empty documents give an empty result; texts of any length are indexed whole; columns of docs named hit_words, hit_spans or
+hit_items keep their values in `removed`.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,13 +132,13 @@ class Phrases:
     """vocabulary: sorted word hashes; by_length: length -> (windows as rows of symbols, of which items)."""
 
     vocabulary: np.ndarray
-    by_length: dict[int, tuple[np.ndarray, list[list[int | None]]]]
+    by_length: dict[int, tuple[np.ndarray, list[list[str | None]]]]
 
     @classmethod
-    def of(cls, items: list[tuple[int | None, str | None]], size: int) -> Phrases:
+    def of(cls, items: list[tuple[str | None, str | None]], size: int) -> Phrases:
         words = Words([(t or "").encode() for _, t in items], ALNUM, lower=True)
         vocabulary, number = np.unique(words.hashes(), return_inverse=True)
-        found: dict[int, dict[tuple, dict[int | None, None]]] = {}
+        found: dict[int, dict[tuple, dict[str | None, None]]] = {}
         for i, (item, _) in enumerate(items):
             own = number[words.first[i] : words.first[i + 1]] + 2
             length = min(size, len(own))
@@ -144,7 +147,7 @@ class Phrases:
         return cls(vocabulary, {n: (np.array(list(w), np.int64), [list(x) for x in w.values()]) for n, w in found.items()})
 
 
-def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[list[int | None]]]:
+def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[list[str | None]]]:
     """(first word, number of words, items) of each occurrence of a window in a shard's documents."""
     nothing = np.zeros(0, np.int64)
     if not len(words) or not phrases.by_length:
@@ -178,17 +181,17 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
 
 
 _HIT = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-FOUND = [T.StructField("hit_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_HIT)), T.StructField("hit_items", T.ArrayType(T.LongType()))]
+FOUND = [T.StructField("hit_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_HIT)), T.StructField("hit_items", T.ArrayType(T.StringType()))]
 _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 20_000, remove: bool = False) -> DataFrame:
+def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 8_000_000, remove: bool = False) -> DataFrame:
     """docs with n_words as hit_words, hit_items, and hit_spans: merged spans of words [first, last) and UTF-8 bytes [start, end).
 
-    remove: the last block takes the spans out of the texts too.
+    block: bytes of benchmark text that are sent to the executors at once; remove: the last block takes the spans out of the texts too.
     """
-    items = only(benchmark, item="item_id", body="text").withColumn("item", F.col("item").cast("long"))
-    blocks = max(1, -(-items.count() // block))
+    items = only(benchmark, item="item_id", body="text").withColumn("item", F.col("item").cast("string"))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // block))
     if blocks > 1:
         items = items.withColumn("part", F.pmod(F.xxhash64("item", "body"), F.lit(blocks)))
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {x.name for x in FOUND}] + FOUND)
@@ -196,18 +199,18 @@ def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 2
     docs = docs.select(*[F.col(f"`{c}`") for c in plain])
     for k in range(blocks):
         rows = items.where(F.col("part") == k) if blocks > 1 else items
-        phrases = Phrases.of([(r["item"], r["body"]) for r in rows.collect()], size)
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases.of([(r["item"], r["body"]) for r in rows.select("item", "body").collect()], size))
         docs = docs.mapInArrow(_marker(phrases, plain, remove and k == blocks - 1), schema)
     return docs
 
 
-def _marker(phrases: Phrases, plain: list[str], remove: bool = False):
+def _marker(phrases: Broadcast, plain: list[str], remove: bool = False):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text", 1_500_000):
             words = Words(texts, ALNUM, lower=True)
-            first, length, of = occurrences(words, phrases)
+            first, length, of = occurrences(words, phrases.value)
             spans: list[list[dict]] = [[] for _ in texts]
-            items: list[set[int]] = [set() for _ in texts]
+            items: list[set[str]] = [set() for _ in texts]
             before = len(part.schema.names) > len(plain)
             if before:
                 for i, (s, x) in enumerate(zip(part.column(len(plain) + 1).to_pylist(), part.column(len(plain) + 2).to_pylist(), strict=True)):
@@ -237,7 +240,7 @@ def _marker(phrases: Phrases, plain: list[str], remove: bool = False):
             if remove:
                 at = plain.index("text")
                 columns[at] = pa.array([x.as_py() if not s else without_spans(t, s) for x, t, s in zip(columns[at], texts, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(words.n, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [*plain, *(f.name for f in FOUND)])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words.n, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*plain, *(f.name for f in FOUND)])
 
     return mark
 
@@ -245,7 +248,7 @@ def _marker(phrases: Phrases, plain: list[str], remove: bool = False):
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of words)."""
     found = marked(only(docs, doc_id="doc_id", text="text"), benchmark, size)
-    ids = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("hit_items"), ",")
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
     return found.select(
         "doc_id", F.col("hit_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"),

@@ -36,7 +36,7 @@ def test_against_plain(spark, odd, none):
     items = [(i, text(r.randint(0, 14))) for i in range(12)] + [(12, None), (13, "!!")]
     docs = [(d, text(r.randint(0, 200)).upper() + (r.choice(items)[1] or "") + text(5)) for d in range(40)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for size, block in ((6, 20_000), (6, 4), (3, 5)):
+    for size, block in ((6, 8_000_000), (6, 60), (3, 90)):
         found = D.marked(df, bench, size, block)
         got = {x.doc_id: (x.hit_words, sum(s["last"] - s["first"] for s in x.hit_spans), len(x.hit_items)) for x in found.collect()}
         assert got == {d: v[:3] for d, v in plain(docs, items, size).items()}
@@ -62,3 +62,12 @@ def test_index():
         low, high = index.search(np.array([phrase]))
         got = sorted(index.locate(np.arange(low[0], high[0])).tolist())
         assert got == [i for i in range(len(s) - len(phrase) + 1) if s[i : i + len(phrase)].tolist() == phrase]
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([(1, "one two three four five", "k"), (2, "two three", "k")], "doc_id long, text string, hit_items string")
+    bench = spark.createDataFrame([("b-10", "three four"), ("b-9", "two three"), (None, "five")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in D.report(df, bench).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (4, 2, sha("b-10,b-9")), 2: (2, 1, sha("b-9"))}
+    assert {r.doc_id: (r.text, r.hit_items) for r in D.removed(df, bench).collect()} == {1: ("one ", "k"), 2: ("", "k")}
