@@ -13,7 +13,8 @@ are terms as well unless clean rows hold them.
 
 Cases: null and empty texts score as texts without a match; null doc_ids are scored, count as not held out and
 teach nothing; repeated rows each give a row; without toxic labels the lexicon is empty and every score is the
-share of toxic labels (0 without labels); extra columns are ignored.
+share of toxic labels (0 without labels); ties of doc_id are scored each; an empty table gives an empty result; texts of
+any length are matched whole; extra columns, of whatever names, are ignored (`rejected` keeps them).
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ SEEDS = (
     "idiot moron imbecile stupid dumb dumbass fool loser pathetic worthless useless disgusting disgrace scum trash garbage filth vermin clown jerk bastard asshole bitch slut whore cunt dickhead douchebag prick "
     "retard retarded freak creep pervert coward liar crap shit bullshit fuck fucking motherfucker"
 ).split()
+#: Harmless phrases that hold a seed or a beginning of one.
+EXCEPTIONS = tuple(
+    "trash can|trash bin|garbage can|garbage collection|garbage collector|garbage truck|garbage disposal|clown fish|class clown|jerk chicken|dumb bell|dumb waiter|dumb terminal|mission creep|scope creep|feature creep|fool proof|fools gold|"
+    "april fool|pond scum|prick of a needle|retard the growth|retard the spread|stupid simple|useless information|pathetic fallacy|coward of the county|scum line".split("|")
+)
 _LEET = re.compile(r"(?<=\w)[@$!|](?=\w)")
 _LEET_AS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 
@@ -127,8 +133,9 @@ def train_rows(doc_id: Column) -> Column:
 
 
 def _terms_of(folded: str, shortest: int = 4, longest: int = 8) -> set[str]:
-    words = {w for w in folded.split() if len(w) >= shortest}
-    return {f" {w} " for w in words if len(w) <= 24} | {f" {w[:k]}" for k in range(shortest, longest + 1) for w in words if len(w) >= k}
+    """Its words, and their beginnings of `shortest` to `longest` letters."""
+    words = set(folded.split())
+    return {f" {w} " for w in words} | {f" {w[:k]}" for k in range(shortest, longest + 1) for w in words if len(w) >= k}
 
 
 def _cover(toxic: list[set[str]], weight: dict[str, float], cost: dict[str, float], least: int, layers: int = 3) -> list[str]:
@@ -155,8 +162,8 @@ def _cover(toxic: list[set[str]], weight: dict[str, float], cost: dict[str, floa
     return chosen
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 8000, candidates: int = 20000, least_share: float = 0.004, exceptions: tuple[str, ...] = (), seeds: tuple[str, ...] = tuple(SEEDS)) -> Lexicon:
-    """Learn a lexicon. per_label bounds the sample of labelled rows; candidates bounds the terms that are weighed."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 8000, least_share: float = 0.004, exceptions: tuple[str, ...] = EXCEPTIONS, seeds: tuple[str, ...] = tuple(SEEDS)) -> Lexicon:
+    """Learn a lexicon. per_label bounds the sample of labelled rows, and so the terms of `least_share` of its toxic rows that are weighed."""
     spark = docs.sparkSession
     known = only(labels, id="doc_id", y=label).where(train_rows(F.col("id")) & F.col("y").isin(0, 1)).distinct()
     ids = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label).collect()]
@@ -187,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
 
     least = max(3, math.ceil(least_share * pos))
-    top = rows.where("y = 1").select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("p")).where(F.col("p") >= least).orderBy(F.desc("p"), "term").limit(candidates).collect()
+    top = rows.where("y = 1").select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("p")).where(F.col("p") >= least).collect()
     p = {r["term"]: r["p"] for r in top}
     own = {f" {fold(w).strip()} " for w in seeds}
     looked_for = frozenset(p) | own
