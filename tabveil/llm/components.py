@@ -12,15 +12,15 @@ def _mins(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: (u, v), either way round, u != v. Result: (u, component) for each u that has a link to a smaller one.
 
-    Each round is written to the shared folder; minima are taken by partial aggregation, so that a node with many links
+    Rounds go on until nothing changes, some log2 of the longest shortest path. Each is written to the shared folder; minima are taken by partial aggregation, so that a node with many links
     is no single task's work, and the links of such a node are joined as Spark splits them.
     """
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _mins(large)

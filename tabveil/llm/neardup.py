@@ -13,17 +13,20 @@ The sets' sizes and the share of equal minima rule out most pairs that cannot be
 `best` are compared on the full sets first; then, round by round, the pairs that still lie between two components,
 and each class that met a crowded component in a region with that component's hubs: those of its classes whose
 signatures agree most with its commonest minima, as the text that all are edits of would.
-So every candidate is either compared or joins what is joined already.
+So every candidate is either compared or joins what is joined already, whatever the number of rounds that takes.
+A region of more than `most` classes is walked in random parts of that size, so that no task has more.
 
 Pairs of a crowded region that are no candidates are met by their rare shingles: the shingle sets of all classes in
 crowded regions go through an exact prefix filter, for classes of different components only. Of what it finds, the
 signatures again rule out most; those of a pair at the threshold agree in `likely` of the minima but for one in 5,000.
 
-Two documents at the threshold itself meet in some region with probability 1 - (1 - 0.75**3)**20 > 0.99998.
+Candidates are found with a probability: two documents at the threshold itself meet in some region with probability
+1 - (1 - 0.75**3)**20 > 0.99998; what meets and may be a link is compared on the full sets. README has the measured share of links.
 
 Cases: null, empty and wordless texts have no shingles and link with nothing; with fewer words than a shingle the
 whole sequence is one; rows that share a doc_id are one document; a null doc_id links with nothing, has a null
-component and is kept; extra columns are ignored.
+component and is kept; an empty table gives an empty result; texts of any length are read whole; extra columns, of
+whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -108,7 +111,7 @@ def planted(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper:
     return classes.select("doc_id", "n_shingles", "signature").mapInArrow(plant, "region long, rest binary, doc_id long, n long")
 
 
-def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75) -> DataFrame:
+def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75, most: int = 50_000) -> DataFrame:
     """(u, v) of classes (doc_id, n_shingles, signature) that meet in the forest; u comes later in some order than v."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by region and rest. State: the last `near` classes of the region, and the first class of each shared prefix."""
@@ -138,7 +141,12 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deepe
                 vs.clear()
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    found = planted(classes, trees, depth, deeper).repartition("region").sortWithinPartitions("region", "rest", "doc_id").mapInArrow(walk, "u long, v long")
+    places = planted(classes, trees, depth, deeper)
+    # Parts of the largest regions; there are few of these, at most one for each `most` places.
+    large = places.groupBy("region").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))
+    places = places.join(large, "region", "left").select(F.when(F.col("parts").isNull(), F.col("region")).otherwise(F.xxhash64("region", part)).alias("region"), "rest", "doc_id", "n")
+    found = places.repartition("region").sortWithinPartitions("region", "rest", "doc_id").mapInArrow(walk, "u long, v long")
     return found.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("u").alias("u"), F.min("v").alias("v")).select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
 
 
@@ -171,8 +179,10 @@ def hubs(classes: DataFrame, found: DataFrame, least: int = 9, top: int = 8) ->
     rows = member.join(crowded, "component").select("component", "u", F.posexplode(values).alias("place", "value"))
     common = rows.groupBy("component", "place", "value").agg(F.count("*").alias("n")).groupBy("component", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
     agree = rows.join(common, ["component", "place", "value"]).groupBy("component", "u").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "u"))
-    return agree.withColumn("rank", rank).where(F.col("rank") <= top).select("component", F.col("u").alias("hub"))
+    # The top of each of 16 parts of a component, then of those.
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "u"))
+    parts = agree.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(16))).withColumn("rank", rank("component", "part")).where(F.col("rank") <= top)
+    return parts.withColumn("rank", rank("component")).where(F.col("rank") <= top).select("component", F.col("u").alias("hub"))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -223,7 +233,7 @@ def missed(classes: DataFrame, found: DataFrame, docs: DataFrame, size: int = 5,
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3, rounds: int = 20) -> DataFrame:
+def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     signed = written(signatures(docs, size), "signatures")
     classes = written(signed.where("doc_id is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"), F.min("n_shingles").alias("n_shingles")), "classes")
@@ -234,7 +244,7 @@ def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3,
     first = left.where(F.col("share") >= likely).withColumn("rank", rank).where(F.col("rank") <= best).select("u", "v")
     links = written(confirmed(first, docs, size, threshold), "links")
     done = written(first, "compared")
-    for _ in range(rounds):
+    while True:  # each round that goes on confirms links between components, or has no pairs left to compare
         found = written(components(links), "components")
         to = lambda c, d: d.join(found.withColumnRenamed("u", c).withColumnRenamed("component", f"{c}c"), c, "left").withColumn(f"{c}c", F.coalesce(f"{c}c", c))  # noqa: E731, B023
         apart = written(to("v", to("u", left)).where("uc <> vc"), "apart")

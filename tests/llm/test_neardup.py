@@ -66,6 +66,8 @@ def test_crowded_regions(spark):
         if i < 20:
             rows.append((i, " ".join(common + own[:16] + [word() for _ in range(24)])))
     r.shuffle(rows)
+    pairs = neardup.candidates(neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string")), most=40)
+    assert pairs.where("u = v").count() == 0 and pairs.count() > 300  # large regions are walked in parts
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain(rows)
     assert all(got[1000 + i][1] == i for i in range(20))
