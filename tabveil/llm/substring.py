@@ -5,16 +5,18 @@ holds a whole block of `span // 2` words that begins at a multiple of that in th
 
 1. the blocks at those places are the index and the runs of `span // 2` words at every place are the probes; all
    are dealt by a hash of their words. A probe that meets a block of a smaller doc_id is a hit, and so is the block;
-2. around each hit, the runs of `span` words that hold it are dealt by their own hash; those which an equal run
-   of a smaller doc_id confirms are repeats. Neighbouring repeats join to the maximal exact repeat of that place;
+2. around each hit, the runs of `span` words that hold it, which are the hit's extensions to either side, are dealt by
+   their own hash; those which a run of a smaller doc_id with the same 96 bits of two independent hashes confirms are repeats. Neighbouring repeats join to the maximal exact repeat of that place;
 3. the words of a document's repeats are taken out.
 
 What is dealt is packed: one row for each part of a few MB of text and each bucket, with some five bytes a probe,
 and not a row for each. A run that a third of all documents share is in one bucket once a document, beside some
-hundreds of other runs of the same documents elsewhere; a bucket holds packed numbers only, never texts.
+hundreds of other runs of the same documents elsewhere; a bucket holds packed numbers only, never texts, and there are so
+many buckets that one has some `bucket_bytes`, whatever the size of the corpus.
 
 Cases: null and empty texts have no words; rows with a null doc_id are kept whole and remove nothing elsewhere;
-rows that share a doc_id never remove from one another, and each is judged by its own text; extra columns are ignored.
+rows that share a doc_id never remove from one another, and each is judged by its own text; repeated rows keep a row each; an
+empty table gives an empty result; texts of any length are read whole; extra columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from tabveil.llm.common import even_keys, only, partitions, whole_number
 from tabveil.llm.words import U, Words, mix, pieces, runs, windows
 
+_RUN = np.dtype([("a", "<u8"), ("b", "<u4")])
 _PACKED = ["bucket", "docs", "keys", "counts", "gaps", "hashes"]
 _PACKED_TYPE = "bucket int, docs binary, keys binary, counts binary, gaps binary, hashes binary"
 
@@ -68,7 +71,7 @@ def _packed_rows(bucket: np.ndarray, hashes: np.ndarray, doc: np.ndarray, at: np
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], _PACKED)
 
 
-def _unpacked(table: pa.Table, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _unpacked(table: pa.Table, kind: str | type | np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(hashes, doc ids, keys, word places) of each packed row."""
     for batch in table.to_batches():
         columns = [batch.column(k) for k in range(1, 6)]
@@ -119,9 +122,12 @@ def _runs_in_documents(words: Words, size: int) -> np.ndarray:
     return np.flatnonzero(words.doc[:n] == words.doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
-def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 1_500_000) -> DataFrame:
+def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 1_500_000, bucket_bytes: int = 64_000_000) -> DataFrame:
     """(doc_id, key, text, places): each row of docs with the first words of its repeats (null: none). key: hash of the text."""
-    buckets, block = partitions(docs.sparkSession), span // 2
+    block, per = span // 2, partitions(docs.sparkSession)
+    # A probe has some 5 bytes, a word at least 2; the buckets of a partition are handled one by one.
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = per * max(1, -(-length * 5 // 6 // (bucket_bytes * per)))
     keys = np.array(even_keys(docs.sparkSession, buckets), np.int32)
     plain = whole_number(only(docs, doc_id="doc_id", text="text"), "doc_id").select("doc_id", F.hash("text").alias("key"), "text")
 
@@ -174,14 +180,16 @@ def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 1_500_000) -> Dat
             starts = starts[np.cumsum(near)[starts] > 0]
             h = words.hashes()
             doc = words.doc[starts]
-            bucket = (windows(h, span, salt=0x5851F42D4C957F2D)[starts] >> U(24)) % U(buckets)
-            rows = _packed_rows(keys[bucket.astype(np.int64)], windows(h, span)[starts].astype("<u8"), doc, starts - words.first[doc], part.column(0).to_numpy(), part.column(1).to_numpy())
+            other = windows(h, span, salt=0x5851F42D4C957F2D)[starts]
+            run = np.empty(len(starts), _RUN)
+            run["a"], run["b"] = windows(h, span)[starts], other.astype("<u4")
+            rows = _packed_rows(keys[((other >> U(32)) % U(buckets)).astype(np.int64)], run, doc, starts - words.first[doc], part.column(0).to_numpy(), part.column(1).to_numpy())
             if rows:
                 yield rows
 
     def confirmed(key: tuple, table: pa.Table) -> pa.Table:
-        h, doc, own, place = (np.concatenate(x) for x in zip(*_unpacked(table, "<u8"), strict=True))
-        order = np.argsort(h, kind="stable")
+        h, doc, own, place = (np.concatenate(x) for x in zip(*_unpacked(table, _RUN), strict=True))
+        order = np.lexsort((h["b"], h["a"]))
         edge = runs(h[order])
         doc = doc[order]
         later = doc > np.repeat(np.minimum.reduceat(doc, edge[:-1]), np.diff(edge))
@@ -197,7 +205,7 @@ def repeats(docs: DataFrame, span: int = 50, part_bytes: int = 1_500_000) -> Dat
     return dealt.join(found, ["doc_id", "key"], "left").select("doc_id", "key", "text", "places").union(none)
 
 
-def without_repeats(docs: DataFrame, span: int = 50, keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = 50, keep_text: bool = False, bucket_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text: the words that stay, joined by a space)."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
     kinds = [pa.int64()] * 3 + [pa.string()] * (1 + keep_text)
@@ -219,4 +227,4 @@ def without_repeats(docs: DataFrame, span: int = 50, keep_text: bool = False) ->
                 rows.append((doc, n, n - len(words), hashlib.sha256(joined).hexdigest(), *([joined.decode()] if keep_text else [])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return repeats(docs, span).mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return repeats(docs, span, bucket_bytes=bucket_bytes).mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)

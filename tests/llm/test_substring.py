@@ -29,8 +29,9 @@ def test_against_plain(spark):
         rows.append((d, r.choice([" ", "\n"]).join(w)))
     rows += [(100 + k, rows[3 * k][1]) for k in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for span in (6, 10):
-        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.without_repeats(df, span).collect()}
+    for span, size in ((6, 64_000_000), (10, 64_000_000), (6, 900)):  # the last: several buckets a partition
+        found = substring.without_repeats(df, span, bucket_bytes=size)
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in found.collect()}
         assert got == plain(rows, span)
 
 
