@@ -205,8 +205,8 @@ def missed(classes: DataFrame, found: DataFrame, docs: DataFrame, size: int = 5,
     """(u, v) of different components, both in crowded regions, that have a rare shingle in common; no pair at the threshold has none.
 
     With each class's shingles in one order, rarest first, two sets at the threshold t share one of the first n - ceil(2 t n / (1 + t)) + 1
-    of the smaller and the first n - ceil(t n) + 1 of the larger. Components are paired before their classes, so that a large one costs
-    its size for each class that is not in it, not its square.
+    of the smaller and the first n - ceil(t n) + 1 of the larger. The classes of a component that are alike in size and place of the
+    shingle are met as one, so that a large component does not cost the square of its size.
     """
     places = planted(classes).select("region", "doc_id")
     crowded = places.join(places.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > near + 1).select("region"), "region").select("doc_id").distinct()
@@ -226,10 +226,13 @@ def missed(classes: DataFrame, found: DataFrame, docs: DataFrame, size: int = 5,
     rows = written(rows.where("s.m > 1").select(F.col("s.value").alias("value"), "doc_id", "n_shingles", "component", "at", (F.col("at") < F.col("few")).alias("small")), "prefixes")
     side = lambda c, d: d.select("value", F.col("component").alias(f"{c}c"), F.col("doc_id").alias(c), F.col("n_shingles").alias(f"{c}n"), (F.col("n_shingles") - F.col("at")).alias(f"{c}r"))
     u, v = side("u", rows.where("small")), side("v", rows)
-    met = u.select("value", "uc").distinct().join(v.select("value", "vc").distinct(), "value").where("uc <> vc")
+    # Classes of a component with as many shingles, of which as many come later, are met as one.
+    kinds = lambda c, d: d.select("value", f"{c}c", f"{c}n", f"{c}r").distinct()
     # From the first shingle that two sets share, each must have enough left for the intersection.
     enough = (100 + threshold) * F.least("ur", "vr") >= threshold * (F.col("un") + F.col("vn"))
-    pairs = met.join(u, ["value", "uc"]).join(v, ["value", "vc"]).where((F.col("un") <= F.col("vn")) & (100 * F.col("un") >= threshold * F.col("vn")) & enough)
+    fits = (F.col("uc") != F.col("vc")) & (F.col("un") <= F.col("vn")) & (100 * F.col("un") >= threshold * F.col("vn")) & enough
+    met = kinds("u", u).join(kinds("v", v), "value").where(fits)
+    pairs = met.join(u, ["value", "uc", "un", "ur"]).join(v, ["value", "vc", "vn", "vr"])
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
