@@ -12,22 +12,36 @@ def _mins(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    ends = edges.select("u", F.lit(1).alias("as_u")).union(edges.select(F.col("v").alias("u"), F.lit(0).alias("as_u")))
+    kinds = ends.groupBy("u").agg(F.sum("as_u").alias("n"), F.min("as_u").alias("least"))
+    return kinds.where("n > 1 or (n = 1 and least = 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: (u, v), either way round, u != v. Result: (u, component) for each u that has a link to a smaller one.
 
-    Rounds go on until nothing changes, some log2 of the longest shortest path. Each is written to the shared folder; minima are taken by partial aggregation, so that a node with many links
+    Rounds go on until all links are stars, some log2 of the longest shortest path. Each is written to the shared folder; minima are taken by partial aggregation, so that a node with many links
     is no single task's work, and the links of such a node are joined as Spark splits them.
     """
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _mins(large)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select("u", F.col("v").alias("component"))
+
+
+def of_component(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the component of a column's node, which is itself where it has no smaller one."""
+    return rows.join(found.withColumnsRenamed({"u": column, "component": name}), column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """components(all links so far) from found, those of the links before: only the components that new links join are gone through."""
+    between = of_component(of_component(links, found, "u", "uc"), found, "v", "vc").select(F.col("uc").alias("u"), F.col("vc").alias("v"))
+    joined = written(components(between), "joined")
+    return of_component(found.withColumnRenamed("component", "c"), joined, "c", "component").select("u", "component").union(joined)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import only, written
-from tabveil.llm.components import components
+from tabveil.llm.components import components, merged, of_component
 from tabveil.llm.words import U, Words, mix, pieces, runs, windows
 
 TREES, DEPTH, DEEPER = 20, 3, 5
@@ -111,7 +111,12 @@ def planted(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper:
     return classes.select("doc_id", "n_shingles", "signature").mapInArrow(plant, "region long, rest binary, doc_id long, n long")
 
 
-def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75, most: int = 50_000) -> DataFrame:
+def regions(classes: DataFrame, near: int = 8) -> DataFrame:
+    """(region, m): the crowded regions, of more than near + 1 classes."""
+    return planted(classes).groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > near + 1)
+
+
+def candidates(classes: DataFrame, crowded: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75, most: int = 50_000) -> DataFrame:
     """(u, v) of classes (doc_id, n_shingles, signature) that meet in the forest; u comes later in some order than v."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by region and rest. State: the last `near` classes of the region, and the first class of each shared prefix."""
@@ -141,11 +146,11 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, deepe
                 vs.clear()
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    places = planted(classes, trees, depth, deeper)
     # Parts of the largest regions; there are few of these, at most one for each `most` places.
-    large = places.groupBy("region").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))
-    places = places.join(large, "region", "left").select(F.when(F.col("parts").isNull(), F.col("region")).otherwise(F.xxhash64("region", part)).alias("region"), "rest", "doc_id", "n")
+    large = crowded.where(F.col("m") > most).select("region", F.ceil(F.col("m") / most).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    places = planted(classes, trees, depth, deeper).join(large, "region", "left")
+    places = places.select(F.when(F.col("parts").isNull(), F.col("region")).otherwise(F.xxhash64("region", part)).alias("region"), "rest", "doc_id", "n")
     found = places.repartition("region").sortWithinPartitions("region", "rest", "doc_id").mapInArrow(walk, "u long, v long")
     return found.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("u").alias("u"), F.min("v").alias("v")).select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
 
@@ -201,16 +206,15 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(alike, "u long, v long, share double")
 
 
-def missed(classes: DataFrame, found: DataFrame, docs: DataFrame, size: int = 5, threshold: int = 75, near: int = 8) -> DataFrame:
+def missed(classes: DataFrame, found: DataFrame, docs: DataFrame, crowded: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
     """(u, v) of different components, both in crowded regions, that have a rare shingle in common; no pair at the threshold has none.
 
     With each class's shingles in one order, rarest first, two sets at the threshold t share one of the first n - ceil(2 t n / (1 + t)) + 1
     of the smaller and the first n - ceil(t n) + 1 of the larger. The classes of a component that are alike in size and place of the
     shingle are met as one, so that a large component does not cost the square of its size.
     """
-    places = planted(classes).select("region", "doc_id")
-    crowded = places.join(places.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > near + 1).select("region"), "region").select("doc_id").distinct()
-    of = classes.select("doc_id", "n_shingles").join(crowded, "doc_id").join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    crowded = planted(classes).select("region", "doc_id").join(crowded, "region").select("doc_id").distinct()
+    of = of_component(classes.select("doc_id", "n_shingles").join(crowded, "doc_id"), found, "doc_id", "component")
     of = written(of, "crowded")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +246,15 @@ def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3)
     classes = written(signed.where("doc_id is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"), F.min("n_shingles").alias("n_shingles")), "classes")
     # Twice over two and a half standard deviations below the threshold: what can be a link, and what may have one to the same component.
     likely, near = threshold / 100 - 0.2, threshold / 100 - 0.4
-    left = written(_alike(candidates(classes, threshold=threshold), classes, near), "candidates")
+    crowded = written(regions(classes), "regions")
+    left = written(_alike(candidates(classes, crowded, threshold=threshold), classes, near), "candidates")
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("share"), "v"))
     first = left.where(F.col("share") >= likely).withColumn("rank", rank).where(F.col("rank") <= best).select("u", "v")
     links = written(confirmed(first, docs, size, threshold), "links")
     done = written(first, "compared")
+    found = written(components(links), "components")
     while True:  # each round that goes on confirms links between components, or has no pairs left to compare
-        found = written(components(links), "components")
-        to = lambda c, d: d.join(found.withColumnRenamed("u", c).withColumnRenamed("component", f"{c}c"), c, "left").withColumn(f"{c}c", F.coalesce(f"{c}c", c))  # noqa: E731, B023
-        apart = written(to("v", to("u", left)).where("uc <> vc"), "apart")
+        apart = written(of_component(of_component(left, found, "u", "uc"), found, "v", "vc").where("uc <> vc"), "apart")
         hub = written(hubs(classes, found), "hubs")
         meets = apart.select("u", F.col("vc").alias("component")).union(apart.select(F.col("v").alias("u"), F.col("uc").alias("component"))).distinct()
         to_hubs = _alike(meets.join(hub, "component").select("u", F.col("hub").alias("v")).where("u <> v").distinct(), classes, likely)
@@ -262,10 +266,10 @@ def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3)
         done = done.union(between)
         if more.isEmpty():
             break
-        links = links.union(more)
-    more = written(confirmed(_alike(missed(classes, found, docs, size, threshold), classes, likely).select("u", "v"), docs, size, threshold), "links")
+        found = written(merged(found, more), "components")
+    more = written(confirmed(_alike(missed(classes, found, docs, crowded, size, threshold), classes, likely).select("u", "v"), docs, size, threshold), "links")
     if not more.isEmpty():
-        found = written(components(links.union(more)), "components")
+        found = written(merged(found, more), "components")
     of_class = classes.select("a", "b", F.col("doc_id").alias("u")).join(found, "u", "left").select("a", "b", F.coalesce("component", "u").alias("component"))
     out = signed.select("doc_id", "n_shingles", "a", "b").join(of_class, ["a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))

@@ -1,7 +1,7 @@
 import random
 
 from tabveil.llm import neardup
-from tabveil.llm.components import components
+from tabveil.llm.components import components, merged
 
 
 def plain(rows):
@@ -52,6 +52,8 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (200, 201)]
     got = {r.u: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), 105: 100, 103: 100, 201: 200}
+    found = merged(components(spark.createDataFrame(links[:40], "u long, v long")), spark.createDataFrame([*links[40:], (7, 201), (300, 105)], "u long, v long"))
+    assert {r.u: r.component for r in found.collect()} == {**dict.fromkeys(range(1, 41), 0), 105: 100, 103: 100, 300: 100, 200: 0, 201: 0}
 
 
 def test_crowded_regions(spark):
@@ -66,7 +68,8 @@ def test_crowded_regions(spark):
         if i < 20:
             rows.append((i, " ".join(common + own[:16] + [word() for _ in range(24)])))
     r.shuffle(rows)
-    pairs = neardup.candidates(neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string")), most=40)
+    signed = neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    pairs = neardup.candidates(signed, neardup.regions(signed), most=40)
     assert pairs.where("u = v").count() == 0 and pairs.count() > 300  # large regions are walked in parts
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain(rows)
