@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,12 +42,15 @@ def headers(spark: SparkSession, path: str) -> list[str]:
 
 
 def scan(spark: SparkSession, path: str, index: str = "row_idx") -> DataFrame:
-    """Columns _c0, _c1, ... and the row's place in file order. A row with a surplus cell that is not blank fails the job."""
+    """Columns _c0, _c1, ... and the row's place in file order. A row with a surplus cell that is not blank, at whatever place, fails the job."""
     names = headers(spark, path)
     columns = [f"_c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{c} string" for c in [*columns, "_over", CORRUPT])
+    schema = ", ".join(f"{c} string" for c in [*columns, CORRUPT])
     rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    surplus = F.coalesce(~F.col("_over").rlike(r"(?U)^\s*$"), F.lit(False))
+    # Records with fewer or more cells come whole in the corrupt column; only those are taken apart again. Quoted cells cannot be blank but for white space.
+    blank = rf"(?s)^(?:(?:[^,\"]|\"(?:[^\"]|\"\")*+\")*+,){{{max(len(names) - 1, 0)}}}+(?:[^,\"]|\"(?:[^\"]|\"\")*+\")*+(?:,(?U:\s)*+|,\"(?U:\s)*+\")*+$"
+    more = rf"(?s)^(?:(?:[^,\"]|\"(?:[^\"]|\"\")*+\")*+,){{{len(names)}}}+"
+    surplus = F.coalesce(F.col(CORRUPT).rlike(more) & ~F.col(CORRUPT).rlike(blank), F.lit(False))
     cells = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]
     safe = F.when(surplus, F.raise_error(F.lit("a row has more cells than the header, and they are not blank"))).otherwise(F.monotonically_increasing_id())
     return rows.select(safe.cast("long").alias(index), *cells)
@@ -69,6 +74,26 @@ def padded(rows: list[list[str]], width: int) -> list[list[str]]:
     return out
 
 
+def from_text(spark: SparkSession, text: str, index: str = "row_idx") -> tuple[DataFrame, list[str]]:
+    """What scan and headers give, of a CSV that is at hand as a string, such as a pasted one."""
+    rows = [r for r in csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")) if r]
+    names = rows[0] if rows else []
+    columns = [f"_c{i}" for i in range(len(names))]
+    schema = ", ".join([f"{index} long", *[f"{c} string" for c in columns]])
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(padded(rows[1:], len(names)))], schema), names
+
+
+def to_text(df: DataFrame, names: list[str], order: str = "row_idx") -> str:
+    """The CSV that sink would write, as a string; for tables as small as a pasted one."""
+    columns = [c for c in df.columns if c != order]
+    head = df.sparkSession.createDataFrame([tuple(names)], ", ".join(f"{c} string" for c in columns)) if columns else df.limit(0)
+    safe = lambda rows: rows.select(*[V.neutralized(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(c) for c in columns])
+    out = io.StringIO(newline="")
+    write = csv.writer(out, lineterminator="\n")
+    write.writerows([*map(tuple, safe(head).collect()), *map(tuple, safe(df.orderBy(order)).collect())])
+    return out.getvalue()
+
+
 def anchors(found: DataFrame, rows: DataFrame, index: str = "row_idx") -> DataFrame:
     """The first row with a span of high confidence for each column. found: (col, row_idx, confidence)."""
     first = found.where(F.col("confidence") == "high").groupBy("col").agg(F.min(index).alias(index))

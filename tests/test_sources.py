@@ -123,3 +123,23 @@ def test_plans_see_all_rows(spark):
     rows = spark.range(0, 30_000, 1, 1).select(F.when(F.col("id") >= 12_000, F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@mail.org"))).alias("note"), F.lit("open").alias("state"))
     plans = service.planned(rows)
     assert [(p.kind, p.selected) for p in plans] == [("email", True), ("enum", False)]
+
+
+def test_surplus_at_any_place(spark, tmp_path):
+    def rows(body):
+        (tmp_path / "x.csv").write_text(body)
+        return [tuple(r)[1:] for r in csvfile.scan(spark, str(tmp_path / "x.csv")).collect()]
+
+    for bad in ("3,4,,secret\n", "3,4,secret\n", '3,4," z"\n', '3,4,,"a,b"\n'):
+        with pytest.raises(Exception, match="more cells"):
+            rows(f"a,b\n1,2\n{bad}")
+    assert rows('a,b\n1,2\n3,4,,\n5\n"x,\ny","q""z", ,\n') == [("1", "2"), ("3", "4"), ("5", ""), ("x,\ny", 'q"z')]
+
+
+def test_csv_from_and_to_strings(spark):
+    rows, names = csvfile.from_text(spark, '\ufeffid,note\n1,"a, ""b""\nc"\n2\n3,=1+1,,\n')
+    assert names == ["id", "note"] and [tuple(r) for r in rows.orderBy("row_idx").collect()] == [(0, "1", 'a, "b"\nc'), (1, "2", ""), (2, "3", "=1+1")]
+    assert csvfile.to_text(rows, names) == 'id,note\n1,"a, ""b""\nc"\n2,\n3,\'=1+1\n'
+    with pytest.raises(ValueError, match="more cells"):
+        csvfile.from_text(spark, "a\n1,,x\n")
+    assert csvfile.from_text(spark, "")[1] == []
