@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import written
 
 
+def _forests(edges: DataFrame, most: int = 500_000) -> tuple[DataFrame, bool]:
+    """Stars (u, v) that connect what the edges connect, and whether they are whole: each task joins its own up to `most` edges."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not ends:
+            return
+        nodes, place = np.unique(np.concatenate([x for pair in zip(*ends, strict=True) for x in pair]), return_inverse=True)
+        u, v = place[: len(place) // 2], place[len(place) // 2 :]
+        least = np.arange(len(nodes))
+        while True:  # each node takes the least root among its neighbours' and then its root's root, until none changes
+            low = np.minimum(least[u], least[v])
+            new = least.copy()
+            for at in (u, v, least[u], least[v]):
+                np.minimum.at(new, at, low)
+            while not np.array_equal(new, new[new]):
+                new = new[new]
+            if np.array_equal(new, least):
+                break
+            least = new
+        off = np.flatnonzero(least != np.arange(len(nodes)))
+        for i in range(0, len(off), 50_000):
+            at = off[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at], pa.int64()), pa.array(nodes[least[at]], pa.int64())], ["u", "v"])
+
+    tasks = -(-edges.count() // most) or 1
+    return written(edges.coalesce(tasks).mapInArrow(join, "u long, v long"), "links"), tasks == 1
+
+
 def _mins(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
@@ -22,16 +55,18 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """links: (u, v), either way round, u != v. Result: (u, component) for each u that has a link to a smaller one.
 
-    Rounds go on until all links are stars, some log2 of the longest shortest path. Each is written to the shared folder; minima are taken by partial aggregation, so that a node with many links
-    is no single task's work, and the links of such a node are joined as Spark splits them.
+    Tasks of a bounded number of links join what they hold; what is left goes through rounds until all links are stars, some log2
+    of the longest shortest path. Each is written to the shared folder; minima are taken by partial aggregation, so that a node with
+    many links is no single task's work, and the links of such a node are joined as Spark splits them.
     """
-    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    while not _are_stars(edges):
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "links")
+    edges, whole = _forests(edges)
+    while not (whole or _are_stars(edges)):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _mins(large)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges, whole = _forests(written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links"))
     return edges.select("u", F.col("v").alias("component"))
 
 

@@ -10,10 +10,10 @@ region, candidates are
   class of the longest prefix that it shares with any before it, so that the depth follows how crowded the region is.
 
 The sets' sizes and the share of equal minima rule out most pairs that cannot be links. Of the others, each class's
-`best` are compared on the full sets first; then, round by round, the pairs that still lie between two components,
+`best` are compared on the full sets first; then all pairs that still lie between two components,
 and each class that met a crowded component in a region with that component's hubs: those of its classes whose
 signatures agree most with its commonest minima, as the text that all are edits of would.
-So every candidate is either compared or joins what is joined already, whatever the number of rounds that takes.
+So every candidate is either compared or joins what is joined already.
 A region of more than `most` classes is walked in random parts of that size, so that no task has more.
 
 Pairs of a crowded region that are no candidates are met by their rare shingles: the shingle sets of all classes in
@@ -118,6 +118,12 @@ def regions(classes: DataFrame, near: int = 8) -> DataFrame:
 
 def candidates(classes: DataFrame, crowded: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75, most: int = 50_000) -> DataFrame:
     """(u, v) of classes (doc_id, n_shingles, signature) that meet in the forest; u comes later in some order than v."""
+    return met(classes, crowded, trees, depth, deeper, near, threshold, most).where("u <> v")
+
+
+def met(classes: DataFrame, crowded: DataFrame, trees: int = TREES, depth: int = DEPTH, deeper: int = DEEPER, near: int = 8, threshold: int = 75, most: int = 50_000) -> DataFrame:
+    """The candidates, and (u, u) for each class of a crowded region."""
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by region and rest. State: the last `near` classes of the region, and the first class of each shared prefix."""
         region, last, leaders, us, vs = None, [], [], [], []
@@ -134,6 +140,10 @@ def candidates(classes: DataFrame, crowded: DataFrame, trees: int = TREES, depth
                     region, last, leaders, seen = r, [own], [own] * (deeper + 1), 1
                     continue
                 seen += 1
+                if seen > near + 1:
+                    own_too = [x[0] for x in ([leaders[0], *last, own] if seen == near + 2 else [own])]
+                    us.extend(own_too)
+                    vs.extend(own_too)
                 # Up to near + 1 classes: all before it; then the nearest, and the first of the region and of the longest shared prefix.
                 shared = [j for j, x in enumerate(leaders) if x[2][: 4 * j] == rest[: 4 * j]][-1]
                 for x in last if seen <= near + 1 else dict.fromkeys([*last[-2:], leaders[0], leaders[shared]]):
@@ -172,28 +182,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = 5, threshold: int =
     texts = only(docs, doc_id="doc_id", text="text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     x = pairs.join(texts, F.col("u") == F.col("id")).select("u", "v", F.col("text").alias("x"))
     y = x.join(texts, F.col("v") == F.col("id")).select("u", "v", "x", F.col("text").alias("y"))
-    return y.mapInArrow(judge, "u long, v long").distinct()
+    return y.mapInArrow(judge, "u long, v long")
 
 
 def hubs(classes: DataFrame, found: DataFrame, least: int = 9, top: int = 8) -> DataFrame:
-    """(component, hub): of each component of `least` classes or more, the `top` whose signatures agree most with its commonest first minima of the trees."""
-    member = classes.select(F.col("doc_id").alias("u"), "signature").join(found, "u", "left").withColumn("component", F.coalesce("component", "u"))
-    crowded = member.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
+    """(component, hub, y: its signature): of each component of `least` classes or more, dealt into `top` parts, the class of each part whose signature agrees most with the component's commonest first minima of the trees."""
+    crowded = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least - 1).select("component")
+    member = found.join(crowded, "component").select("u", "component").union(crowded.select(F.col("component").alias("u"), "component"))
+    member = written(member.join(classes.select(F.col("doc_id").alias("u"), "signature"), "u"), "members")
     # The first minimum of each tree is enough to tell which text is in the middle.
-    values = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.hex(F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4))))
-    rows = member.join(crowded, "component").select("component", "u", F.posexplode(values).alias("place", "value"))
-    common = rows.groupBy("component", "place", "value").agg(F.count("*").alias("n")).groupBy("component", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
-    agree = rows.join(common, ["component", "place", "value"]).groupBy("component", "u").agg(F.count("*").alias("n"))
-    # The top of each of 16 parts of a component, then of those.
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "u"))
-    parts = agree.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(16))).withColumn("rank", rank("component", "part")).where(F.col("rank") <= top)
-    return parts.withColumn("rank", rank("component")).where(F.col("rank") <= top).select("component", F.col("u").alias("hub"))
+    value = lambda t: F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4))
+    rows = member.select("component", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.conv(F.hex(value(t)), 16, 10).cast("long"))).alias("place", "value"))
+    often = rows.groupBy("component", "place", "value").agg(F.count("*").alias("n"))
+    common = often.groupBy("component").agg(F.array(*[F.max(F.when(F.col("place") == t, F.struct("n", "value")))["value"] for t in range(TREES)]).alias("common"))
+    agree = sum((F.conv(F.hex(value(F.lit(t))), 16, 10).cast("long") == F.col("common")[t]).cast("int") for t in range(TREES))
+    best = F.max(F.struct(agree.alias("n"), (-F.col("u")).alias("u"), "signature")).alias("best")
+    parts = member.join(common, "component").groupBy("component", F.pmod(F.xxhash64("u"), F.lit(top)).alias("part")).agg(best)
+    return parts.select("component", (-F.col("best.u")).alias("hub"), F.col("best.signature").alias("y"))
+
+
+def _signed(pairs: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
+    """pairs with the signature of a column's class."""
+    return pairs.join(classes.select(F.col("doc_id").alias(column), F.col("signature").alias(name)), column)
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(u, v, share): the pairs whose signatures agree in `least` of the minima or more."""
-    sign = classes.select(F.col("doc_id").alias("id"), "signature")
-    met = pairs.join(sign, F.col("u") == F.col("id")).select("u", "v", F.col("signature").alias("x")).join(sign, F.col("v") == F.col("id")).select("u", "v", "x", F.col("signature").alias("y"))
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """(u, v, share): the pairs (u, v, x, y) whose signatures x and y agree in `least` of the minima or more."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,17 +217,16 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 keep = share >= least
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)), pa.array(share[keep])], ["u", "v", "share"])
 
-    return met.mapInArrow(alike, "u long, v long, share double")
+    return pairs.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long, share double")
 
 
 def missed(classes: DataFrame, found: DataFrame, docs: DataFrame, crowded: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
-    """(u, v) of different components, both in crowded regions, that have a rare shingle in common; no pair at the threshold has none.
+    """(u, v) of different components, both in `crowded` (doc_id: classes of crowded regions), that have a rare shingle in common; no pair at the threshold has none.
 
     With each class's shingles in one order, rarest first, two sets at the threshold t share one of the first n - ceil(2 t n / (1 + t)) + 1
     of the smaller and the first n - ceil(t n) + 1 of the larger. The classes of a component that are alike in size and place of the
     shingle are met as one, so that a large component does not cost the square of its size.
     """
-    crowded = planted(classes).select("region", "doc_id").join(crowded, "region").select("doc_id").distinct()
     of = of_component(classes.select("doc_id", "n_shingles").join(crowded, "doc_id"), found, "doc_id", "component")
     of = written(of, "crowded")
 
@@ -246,30 +259,20 @@ def clusters(docs: DataFrame, size: int = 5, threshold: int = 75, best: int = 3)
     classes = written(signed.where("doc_id is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"), F.min("n_shingles").alias("n_shingles")), "classes")
     # Twice over two and a half standard deviations below the threshold: what can be a link, and what may have one to the same component.
     likely, near = threshold / 100 - 0.2, threshold / 100 - 0.4
-    crowded = written(regions(classes), "regions")
-    left = written(_alike(candidates(classes, crowded, threshold=threshold), classes, near), "candidates")
+    meet = written(met(classes, written(regions(classes), "regions"), threshold=threshold), "met")
+    alike = lambda pairs, least: _alike(_signed(_signed(pairs, classes, "u", "x"), classes, "v", "y"), least)
+    left = written(alike(meet.where("u <> v"), near), "candidates")
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("share"), "v"))
-    first = left.where(F.col("share") >= likely).withColumn("rank", rank).where(F.col("rank") <= best).select("u", "v")
-    links = written(confirmed(first, docs, size, threshold), "links")
-    done = written(first, "compared")
-    found = written(components(links), "components")
-    while True:  # each round that goes on confirms links between components, or has no pairs left to compare
-        apart = written(of_component(of_component(left, found, "u", "uc"), found, "v", "vc").where("uc <> vc"), "apart")
-        hub = written(hubs(classes, found), "hubs")
-        meets = apart.select("u", F.col("vc").alias("component")).union(apart.select(F.col("v").alias("u"), F.col("uc").alias("component"))).distinct()
-        to_hubs = _alike(meets.join(hub, "component").select("u", F.col("hub").alias("v")).where("u <> v").distinct(), classes, likely)
-        between = apart.where(F.col("share") >= likely).select("u", "v").union(to_hubs.select("u", "v")).distinct()
-        between = written(between.join(done, ["u", "v"], "left_anti"), "between")
-        if between.isEmpty():
-            break
-        more = written(confirmed(between, docs, size, threshold), "links")
-        done = done.union(between)
-        if more.isEmpty():
-            break
-        found = written(merged(found, more), "components")
-    more = written(confirmed(_alike(missed(classes, found, docs, crowded, size, threshold), classes, likely).select("u", "v"), docs, size, threshold), "links")
-    if not more.isEmpty():
-        found = written(merged(found, more), "components")
+    first = written(left.where(F.col("share") >= likely).withColumn("rank", rank).where(F.col("rank") <= best).select("u", "v"), "compared")
+    found = written(components(confirmed(first, docs, size, threshold)), "components")
+    # All other pairs between components, and the hubs. Components that are still apart then have links in crowded regions only.
+    apart = written(of_component(of_component(left, found, "u", "uc"), found, "v", "vc").where("uc <> vc"), "apart")
+    meets = apart.select("u", F.col("vc").alias("component")).union(apart.select(F.col("v").alias("u"), F.col("uc").alias("component"))).distinct()
+    to_hubs = _alike(_signed(meets.join(written(hubs(classes, found), "hubs"), "component").withColumnRenamed("hub", "v"), classes, "u", "x"), likely)
+    between = apart.where(F.col("share") >= likely).select("u", "v").union(to_hubs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
+    found = written(merged(found, confirmed(between.join(first, ["u", "v"], "left_anti"), docs, size, threshold)), "components")
+    rare = missed(classes, found, docs, meet.where("u = v").select(F.col("u").alias("doc_id")), size, threshold)
+    found = written(merged(found, confirmed(alike(rare, likely).select("u", "v"), docs, size, threshold)), "components")
     of_class = classes.select("a", "b", F.col("doc_id").alias("u")).join(found, "u", "left").select("a", "b", F.coalesce("component", "u").alias("component"))
     out = signed.select("doc_id", "n_shingles", "a", "b").join(of_class, ["a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
