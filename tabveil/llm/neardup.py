@@ -185,19 +185,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = 5, threshold: int =
     return y.mapInArrow(judge, "u long, v long")
 
 
-def hubs(classes: DataFrame, found: DataFrame, least: int = 9, top: int = 8) -> DataFrame:
+def hubs(classes: DataFrame, found: DataFrame, least: int = 9, top: int = 8, most: int = 50_000) -> DataFrame:
     """(component, hub, y: its signature): of each component of `least` classes or more, dealt into `top` parts, the class of each part whose signature agrees most with the component's commonest first minima of the trees."""
-    crowded = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least - 1).select("component")
-    member = found.join(crowded, "component").select("u", "component").union(crowded.select(F.col("component").alias("u"), "component"))
+    crowded = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least - 1).select("component", (F.ceil(F.col("n") / most) * top).cast("int").alias("parts"))
+    member = found.join(crowded, "component").select("u", "component", "parts").union(crowded.select(F.col("component").alias("u"), "component", "parts"))
+    member = member.withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
     member = written(member.join(classes.select(F.col("doc_id").alias("u"), "signature"), "u"), "members")
     # The first minimum of each tree is enough to tell which text is in the middle.
     value = lambda t: F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4))
-    rows = member.select("component", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.conv(F.hex(value(t)), 16, 10).cast("long"))).alias("place", "value"))
-    often = rows.groupBy("component", "place", "value").agg(F.count("*").alias("n"))
-    common = often.groupBy("component").agg(F.array(*[F.max(F.when(F.col("place") == t, F.struct("n", "value")))["value"] for t in range(TREES)]).alias("common"))
+    rows = member.select("component", "parts", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.conv(F.hex(value(t)), 16, 10).cast("long"))).alias("place", "value"))
+    often = rows.groupBy("component", "place", "value").agg(F.count("*").alias("n"), F.first("parts").alias("parts"))
+    common = often.groupBy("component").agg(F.array(*[F.max(F.when(F.col("place") == t, F.struct("n", "value")))["value"] for t in range(TREES)]).alias("common"), F.first("parts").alias("parts"))
+    # A row for each part, so that the members of one component are dealt over many tasks.
+    common = common.select("component", "common", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     agree = sum((F.conv(F.hex(value(F.lit(t))), 16, 10).cast("long") == F.col("common")[t]).cast("int") for t in range(TREES))
     best = F.max(F.struct(agree.alias("n"), (-F.col("u")).alias("u"), "signature")).alias("best")
-    parts = member.join(common, "component").groupBy("component", F.pmod(F.xxhash64("u"), F.lit(top)).alias("part")).agg(best)
+    parts = member.join(common, ["component", "part"]).groupBy("component", F.pmod("part", F.lit(top)).alias("part")).agg(best)
     return parts.select("component", (-F.col("best.u")).alias("hub"), F.col("best.signature").alias("y"))
 
 
