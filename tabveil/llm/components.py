@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabveil.llm.common import written
 
 
-def _forests(edges: DataFrame, most: int = 500_000) -> tuple[DataFrame, bool]:
+def _forests(edges: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """Stars (u, v) that connect what the edges connect, and whether they are whole: each task joins its own up to `most` edges."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def _are_stars(edges: DataFrame) -> bool:
     return kinds.where("n > 1 or (n = 1 and least = 0)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int = 500_000) -> DataFrame:
     """links: (u, v), either way round, u != v. Result: (u, component) for each u that has a link to a smaller one.
 
     Tasks of a bounded number of links join what they hold; what is left goes through rounds until all links are stars, some log2
@@ -60,13 +60,13 @@ def components(links: DataFrame) -> DataFrame:
     many links is no single task's work, and the links of such a node are joined as Spark splits them.
     """
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "links")
-    edges, whole = _forests(edges)
+    edges, whole = _forests(edges, most)
     while not (whole or _are_stars(edges)):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _mins(large)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, whole = _forests(written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links"))
+        edges, whole = _forests(written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links"), most)
     return edges.select("u", F.col("v").alias("component"))
 
 

@@ -56,6 +56,26 @@ def test_components(spark):
     assert {r.u: r.component for r in found.collect()} == {**dict.fromkeys(range(1, 41), 0), 105: 100, 103: 100, 300: 100, 200: 0, 201: 0}
 
 
+def test_components_in_several_tasks(spark):
+    r = random.Random(7)
+    links = [(i, i + 3) for i in range(60)] + [(500, 500 + r.randint(1, 40)) for _ in range(30)] + [(539, 20), (700, 800)]
+    r.shuffle(links)
+    df = spark.createDataFrame(links, "u long, v long").repartition(8)
+    one, many = ({x.u: x.component for x in components(df, most).collect()} for most in (1000, 20))
+    assert one == many
+    assert all(one[i] == i % 3 for i in range(3, 63)) and one[800] == 700
+
+
+def test_crowded_classes(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["common words of all texts here in a row"] * 3 + [str(r.random()) for _ in range(3)])) for i in range(40)]
+    rows += [(100 + i, " ".join(str(r.random()) for _ in range(20))) for i in range(10)]
+    signed = neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    regions = neardup.regions(signed)
+    crowded = {x.doc_id for x in neardup.planted(signed).join(regions, "region").collect()}
+    assert crowded and {x.u for x in neardup.met(signed, regions).where("u = v").collect()} == crowded
+
+
 def test_crowded_regions(spark):
     # 300 texts with 160 of 200 shingles in common do not link; 20 have a copy at similarity 0.786 each.
     r = random.Random(5)
