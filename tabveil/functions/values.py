@@ -40,13 +40,12 @@ STREET_WORDS = (
 ).split()
 STREET_ENDS = ["straat", "weg", "laan", "plein", "strasse", "straße", "platz", "allee"]
 
-#: Words of organisations, which are no part of a person's name.
+#: Our own list: legal forms, then words for bodies and trades, none of which belongs to a person's name.
 ORGANISATION_WORDS = (
-    "ltd limited inc incorporated llc llp plc corp corporation company gmbh sarl srl holding holdings group industries enterprises ventures partners associates solutions systems technologies laboratories "
-    "foundation institute university hospital clinic agency bureau council committee association society federation department division team office engineering operations marketing sales finance procurement "
-    "logistics support success reliability security infrastructure platform analytics science research development manufacturing traders trading retail wholesale distribution media communications consulting "
-    "consultancy capital insurance pharmaceuticals energy utilities telecom networks studios supply supplies equipment materials products brands textiles chemicals mining shipping freight rentals leasing "
-    "properties realty estates contractors construction airlines motors foods toys"
+    "aktiengesellschaft bvba cooperative coop corp gmbh inc kft limited llc llp ltd nonprofit oyj plc pty sarl spa sro "
+    "academy airport authority bakery bank brewery charity church cinema city college commission court dental embassy factory farm gallery garage government guild "
+    "hospital hotel labs library ministry municipality museum orchestra parish pharmacy police province publisher restaurant school shop studio theatre trust union university warehouse workshop "
+    "accounting banking catering cleaning consulting insurance landscaping logistics marketing plumbing recruiting roofing software"
 ).split()
 
 
