@@ -97,3 +97,13 @@ def matched(header: str) -> set[str]:
 def best(header: str, kinds: list[str]) -> str | None:
     found = {k: s for k, s in scores(header).items() if k in kinds}
     return max(found, key=lambda k: (found[k], -kinds.index(k))) if found else None
+
+
+def tax_context(header: str) -> str | None:
+    """ssn, ein, or null: which US number nine bare digits under this header are."""
+    return {"ssn": "ssn", "socialsecuritynumber": "ssn", "ein": "ein", "employeridentificationnumber": "ein"}.get(compact(header))
+
+
+def dutch_btw_context(header: str) -> bool:
+    c = compact(header)
+    return c in {"btw", "btwnr", "btwid", "btwidentificatienummer"} or c.endswith(("btwnummer", "omzetbelastingnummer"))

@@ -40,11 +40,11 @@ STREET_WORDS = (
 ).split()
 STREET_ENDS = ["straat", "weg", "laan", "plein", "strasse", "straße", "platz", "allee"]
 
-#: Our own list: legal forms, then words for bodies and trades, none of which belongs to a person's name.
+#: Legal forms, then words for bodies and trades, none of which belongs to a person's name.
 ORGANISATION_WORDS = (
-    "aktiengesellschaft bvba cooperative coop corp gmbh inc kft limited llc llp ltd nonprofit oyj plc pty sarl spa sro "
-    "academy airport authority bakery bank brewery charity church cinema city college commission court dental embassy factory farm gallery garage government guild "
-    "hospital hotel labs library ministry municipality museum orchestra parish pharmacy police province publisher restaurant school shop studio theatre trust union university warehouse workshop "
+    "aktiengesellschaft bvba company cooperative coop corp corporation gmbh inc kft limited llc llp ltd nonprofit oyj plc pty sarl spa sro "
+    "academy agency airport authority bakery bank brewery charity church cinema city college commission court dental embassy factory farm foundation gallery garage government guild "
+    "hospital hotel institute labs library ministry municipality museum orchestra parish pharmacy police province publisher restaurant school shop studio theatre trust union university warehouse workshop "
     "accounting banking catering cleaning consulting insurance landscaping logistics marketing plumbing recruiting roofing software"
 ).split()
 
@@ -96,6 +96,29 @@ def is_us_tax_id(v: Column) -> Column:
     return ssn | v.rlike(r"^(?!0[07-9]|1[789]|2[89]|49|[67]9|[78]0|8[9]|9[67])[0-9]{2}-[0-9]{7}$")
 
 
+def is_bare_us_tax_id(v: Column, kind: str | None = None) -> Column:
+    """Nine digits that a header makes a US number: kind ssn, ein, or null for either."""
+    ssn = r"(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}"
+    ein = r"(?!0[07-9]|1[789]|2[89]|49|[67]9|[78]0|8[9]|9[67])[0-9]{9}"
+    return whole(trimmed(v), {"ssn": ssn, "ein": ein}.get(kind or "", f"{ssn}|{ein}"))
+
+
+def is_dutch_btw(v: Column) -> Column:
+    """The Dutch turnover tax number without its country: nine digits, B, two digits that are not 00."""
+    return F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", "")).rlike("^[0-9]{9}B(?!00)[0-9]{2}$")
+
+
+def fits_header_signal(v: Column, kind: str) -> Column:
+    """Whether a value bears out what its header says: secrets have 8 bytes and a letter, accounts 4 digits or the form of an identifier, dates 4 bytes."""
+    if kind == "credentialOrSecret":
+        return (F.octet_length(v) >= 8) & v.rlike("[A-Za-z]")
+    if kind == "accountOrFinancialId":
+        return (F.length(digits(v)) >= 4) | is_account_identifier(v)
+    if kind == "privateDate":
+        return whole(v, TIMESTAMP) | (F.octet_length(v) >= 4)
+    return F.lit(True)
+
+
 def is_iban(v: Column) -> Column:
     """Two letters, two check digits, 11 to 30 more; the number that the rearranged letters make is 1 mod 97."""
     t = F.upper(F.regexp_replace(v, r"(?U)\s", ""))
@@ -161,12 +184,18 @@ def is_account_identifier(v: Column) -> Column:
     return trimmed(v).rlike(r"^(?=.*[A-Za-z])[A-Za-z0-9_.\-]{3,64}$")
 
 
+def _phone(v: Column) -> Column:
+    from tabveil.functions import phones
+
+    return phones.is_phone(v)
+
+
 #: type -> (predicate, evidence rank, specificity), in the order in which they are tried.
 PRIORITY = {
     "email": (is_email, 3, 80),
     "uuid": (lambda v: whole(v, UUID), 2, 90),
     "timestamp": (lambda v: whole(v, TIMESTAMP), 1, 50),
-    "phone": (has_separator_phone, 3, 70),
+    "phone": (_phone, 3, 70),
     "ipAddress": (lambda v: whole(v, IPV4), 2, 80),
     "macAddress": (lambda v: whole(v, MAC), 2, 90),
     "url": (is_url, 3, 80),

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.functions import headers
+from tabveil.functions import headers, phones
 from tabveil.functions import values as V
 from tabveil.functions.checks import checked
 from tabveil.operators.distribution import long_form
@@ -17,6 +17,10 @@ RISK = {**dict.fromkeys(("email", "phone", "firstName", "lastName", "fullName",
 KIND_OF = {"email": "contact", "phone": "contact", "firstName": "person", "lastName": "person", "fullName": "person", "address": "privateAddress", "taxId": "governmentId", "uuid": "recordIdentifier", "numericId": "recordIdentifier", "postalCode": "addressRegion", "ipAddress": "networkOrDeviceId", "macAddress": "networkOrDeviceId", "url": "url"}
 RANK = {"low": 0, "medium": 1, "high": 2}
 ENUM_MOST, ENUM_OVER = 20, 10
+#: Kinds of header signals that a value must bear out.
+HEADER_FITS = ("credentialOrSecret", "accountOrFinancialId", "privateDate")
+#: Values of a column that a plan shows.
+SAMPLE = 5
 
 
 def votes(cells: DataFrame) -> DataFrame:
@@ -28,6 +32,8 @@ def votes(cells: DataFrame) -> DataFrame:
     extra: dict[str, Column] = {
         "numericValue": V.is_numeric_value(t), "unsigned": V.whole(t, "[0-9]+"), "iban": V.is_iban(t), "card": V.is_card(t), "address": V.is_address(t), "street": V.is_address(t) & V.has_street_word(t),
         "namePart2": V.is_name_part(t, 2), "namePart4": V.is_name_part(t, 4), "fullName": V.is_full_name(t), "keyToken": V.is_key_token(t), "isoCountry": V.is_country(t),
+        "phonePlan": phones.shaped(t, 7, slash=True) | phones.is_valid(t), "ssn9": V.is_bare_us_tax_id(t, "ssn"), "ein9": V.is_bare_us_tax_id(t, "ein"), "tax9": V.is_bare_us_tax_id(t), "btw": V.is_dutch_btw(t),
+        **{f"fits_{k}": V.fits_header_signal(v, k) for k in HEADER_FITS},
     }
     return cells.groupBy("col").agg(
         count(F.lit(True)).alias("non_empty"), F.count_distinct(F.when(full, v)).alias("distinct"), F.bool_or(v == "").alias("has_empty"), F.bool_or(F.lower(v) == "null").alias("has_null"),
@@ -36,9 +42,24 @@ def votes(cells: DataFrame) -> DataFrame:
 
 
 def checksum_votes(cells: DataFrame) -> DataFrame:
-    """(col, vat, iban, nationalId): counts of values that pass; the checks see each distinct value once."""
+    """(col, counts of values that pass, country): the checks see each distinct value once. country: the commonest one of the national numbers, the first by name in a tie."""
     values = checked(cells)
-    return cells.join(values, "value").groupBy("col").agg(*[F.count_if(c).alias(f"ok_{c}") for c in ("vat", "iban", "nationalId")])
+    counts = cells.join(values, "value").groupBy("col", "country").agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"ok_{c}") for c in ("vat", "iban", "nationalId")])
+    first = F.min(F.when(F.col("country").isNotNull(), F.struct((-F.col("n")).alias("n"), "country")))["country"]
+    return counts.groupBy("col").agg(*[F.sum(f"ok_{c}").alias(f"ok_{c}") for c in ("vat", "iban", "nationalId")], first.alias("country"))
+
+
+def first_values(df: DataFrame, order: str, columns: list[str], n: int = SAMPLE) -> DataFrame:
+    """(col, value, place): the first n values of each column that are not empty, in `order`; ties by value.
+
+    Ranks up to n are cut before the exchange too, so that no column's cells meet in one task.
+    """
+    from pyspark.sql import Window
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    cells = df.select(F.col(order).alias("_at"), F.explode(pairs).alias("p")).select("_at", "p.*").where(~V.is_empty(F.col("value")))
+    place = F.row_number().over(Window.partitionBy("col").orderBy("_at", "value"))
+    return cells.withColumn("place", place).where(F.col("place") <= n).select("col", "value", "place")
 
 
 def postal_votes(cells: DataFrame, context: list[str] | None = None) -> DataFrame:
@@ -114,8 +135,10 @@ def decide(header: str, index: int, c: dict, postal: dict[str, int] | None = Non
     national = _share(c.get("ok_nationalId") or 0, n)
     if national != "low":
         best = max(best or (), (RANK[national], 3, 100, c["ok_nationalId"], -50, "taxId", national))
-    top = (best[5], best[6], "validator" if best[1] == 3 else "pattern") if best else None
-    early = next((x for h, kind, count in (("phone", "phone", c["is_phone"]), ("postal_code", "postalCode", sum(postal.values())), ("address", "address", c["is_address"]), ("tax_id", "taxId", c["is_taxId"] + (c.get("ok_vat") or 0))) if h in names and (x := take(kind, count, f"header:{h}"))), None)
+    country = f":{c['country']}" if best and best[4] == -50 and c.get("country") else ""
+    top = (best[5], best[6], f"validator:national-id{country}" if best[4] == -50 else "validator" if best[1] == 3 else "pattern") if best else None
+    bare = c[{"ssn": "is_ssn9", "ein": "is_ein9", None: "is_tax9"}[headers.tax_context(header)]] + (c["is_btw"] if headers.dutch_btw_context(header) else 0)
+    early = next((x for h, kind, count in (("phone", "phone", c["is_phonePlan"]), ("postal_code", "postalCode", sum(postal.values())), ("address", "address", c["is_address"]), ("tax_id", "taxId", c["is_taxId"] + bare + (c.get("ok_vat") or 0))) if h in names and (x := take(kind, count, f"header:{h}"))), None)
     validated = take("taxId", c.get("ok_vat") or 0, "validator:vat") or take("string", c.get("ok_iban") or 0, "validator:iban") or (top if top and best[1] == 3 else None)
     if validated:
         found = validated
@@ -143,7 +166,10 @@ def decide(header: str, index: int, c: dict, postal: dict[str, int] | None = Non
     p.risk = RISK.get(p.kind, "low")
     for signal, kind, level in (("secret", "credentialOrSecret", "high"), ("account_number", "accountOrFinancialId", "high"), ("device_identifier", "networkOrDeviceId", "medium"), ("private_date", "privateDate", "medium"), ("account_identifier", "recordIdentifier", "medium")):
         if signal in names:
-            p.evidence.append((kind, f"header:{signal}", n))
+            fits = c[f"is_fits_{kind}"] if kind in HEADER_FITS else n
+            if not fits:
+                continue
+            p.evidence.append((kind, f"header:{signal}", fits))
             p.risk = max(p.risk, level, key=RANK.get)
             break
     if p.kind in KIND_OF:
