@@ -111,3 +111,14 @@ def evidence(found: DataFrame, row: str) -> DataFrame:
 def spliced(text: Column, pattern: str, replacement: str) -> Column:
     """A text with every match of one pattern replaced."""
     return F.regexp_replace(text, pattern, replacement)
+
+
+def promoted(found: DataFrame, kind: str, confidence: str, score: int, detector: str | None = None, rows: Column | None = None) -> DataFrame:
+    """Spans in which those of a kind (and of `rows`, a condition) have at least this confidence and score; where the score rises, `detector` is its reason."""
+    rank = F.create_map(*[F.lit(x) for k, n in (("low", 0), ("medium", 1), ("high", 2)) for x in (k, n)])
+    hit = (F.col("kind") == kind) & (F.lit(True) if rows is None else rows)
+    better, higher = hit & (rank[F.col("confidence")] < rank[F.lit(confidence)]), hit & (F.col("score") < score)
+    changes = {"confidence": F.when(better, confidence).otherwise(F.col("confidence")), "score": F.when(higher, score).otherwise(F.col("score"))}
+    if detector:
+        changes["detector"] = F.when(higher, detector).otherwise(F.col("detector"))
+    return found.withColumns(changes)

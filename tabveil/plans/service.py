@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tabveil.functions import values as V
 from tabveil.functions.blake3 import token_udf
-from tabveil.operators import audit, distribution, profile, smart, strategies, uniqueness
+from tabveil.operators import audit, distribution, profile, smart, spans, strategies, uniqueness
+from tabveil.plans import review as told
 from tabveil.sources import csvfile
 
 PREVIEW_MOST = 100
@@ -39,6 +40,7 @@ class ColumnPlan:
     placeholder: str = ""
     ambiguous: bool = False
     evidence: list[tuple[str, str, int]] = field(default_factory=list)
+    sample: list[str] = field(default_factory=list)
 
     @property
     def changes(self) -> bool:
@@ -54,27 +56,39 @@ def disposition(p: profile.Profile) -> str:
     return "testedBenign" if p.kind not in ("string", "unknown") and p.confidence != "low" and sum(c.isalnum() for c in p.header) >= 3 else "uncertain"
 
 
-def planned(df: DataFrame, names: list[str] | None = None) -> list[ColumnPlan]:
-    """A plan for each column from all rows; headers that read alike are ambiguous."""
+def planned(df: DataFrame, names: list[str] | None = None, order: str | None = None) -> list[ColumnPlan]:
+    """A plan for each column from all rows; headers that read alike are ambiguous. order: a column of df that is no column of the table; by it a plan keeps its first five values."""
+    shown: dict[str, list[str]] = {}
+    if order:
+        for r in sorted(profile.first_values(df, order, [c for c in df.columns if c != order]).collect(), key=lambda r: r["place"]):
+            shown.setdefault(r["col"], []).append(r["value"])
+        df = df.drop(order)
     names = names or df.columns
     cells = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     labels = [strategies.column_label(n, i) for i, n in enumerate(names)]
     out = []
-    for p, name, label in zip(profile.profiled(cells, names), names, labels, strict=True):
+    for p, name, label, c in zip(profile.profiled(cells, names), names, labels, df.columns, strict=True):
         best = max((e for e in p.evidence), key=lambda e: _priority(e[0]), default=None)
         mark = strategies.placeholder(name, p.index, p.kind, best and best[0], p.kind, labels.count(label) > 1)
-        out.append(ColumnPlan(name, p.index, p.kind, p.risk, p.strategy, p.selected, mark, labels.count(label) > 1, p.evidence))
+        out.append(ColumnPlan(name, p.index, p.kind, p.risk, p.strategy, p.selected, mark, labels.count(label) > 1, p.evidence, shown.get(c, [])))
     return out
 
 
-def _priority(kind: str) -> int:
-    from tabveil.operators.spans import KIND_PRIORITY
+def _found_in(sample: list[str]) -> list[tuple[str, str, int]]:
+    """Evidence in the values that a plan keeps: (kind, detector, rows)."""
+    rows: dict[tuple[str, str], set[int]] = {}
+    for at, text in enumerate(sample):
+        for s in spans.find(text):
+            rows.setdefault((s[3], s[7]), set()).add(at)
+    return [(kind, detector, len(at)) for (kind, detector), at in sorted(rows.items())]
+
 
-    return KIND_PRIORITY.get(kind, 0)
+def _priority(kind: str) -> int:
+    return spans.KIND_PRIORITY.get(kind, 0)
 
 
 def controlled(plans: list[ColumnPlan], selected: list[int], controls: dict[int, dict] | None = None) -> list[ColumnPlan]:
-    """Plans with the user's selection, types and strategies; a type never lowers the risk that was found."""
+    """Plans with the user's selection, types and strategies; a type never lowers the risk that was found, and the kept values are looked at again under it."""
     if bad := [i for i in [*selected, *(controls or {})] if not 0 <= i < len(plans)]:
         raise IndexError(f"no column {bad[0]}; there are {len(plans)}")
     out = []
@@ -84,8 +98,24 @@ def controlled(plans: list[ColumnPlan], selected: list[int], controls: dict[int,
         if strategy not in strategies.STRATEGIES:
             raise ValueError(f"no strategy {strategy}")
         risk = max(p.risk, profile.RISK.get(kind, "low"), key=profile.RANK.get)
+        evidence = p.evidence
+        if "type" in c:
+            new = _found_in(p.sample)
+            risk = max([risk, *("medium" if k in spans.MEDIUM else "high" for k, _, _ in new)], key=profile.RANK.get)
+            evidence = evidence + [e for e in new if e[:2] not in {x[:2] for x in evidence}]
         mark = p.placeholder if kind == p.kind else strategies.placeholder(p.name, p.index, kind, ambiguous=p.ambiguous)
-        out.append(replace(p, kind=kind, strategy=strategy, risk=risk, selected=p.index in selected, placeholder=mark))
+        out.append(replace(p, kind=kind, strategy=strategy, risk=risk, selected=p.index in selected, placeholder=mark, evidence=evidence))
+    return out
+
+
+def defaults_after_spans(plans: list[ColumnPlan], found: dict[str, list[tuple[str, str, int]]]) -> list[ColumnPlan]:
+    """Plans of a pasted document's fields with the spans found in them: a risk that rises brings its default strategy and selects the field."""
+    out = []
+    for p in plans:
+        new = found.get(p.name, [])
+        risk = max([p.risk, *("medium" if k in spans.MEDIUM else "high" for k, _, _ in new)], key=profile.RANK.get)
+        rose = profile.RANK[risk] > profile.RANK[p.risk]
+        out.append(replace(p, risk=risk, evidence=p.evidence + new, strategy="redact" if rose else p.strategy, selected=p.selected or rose))
     return out
 
 
@@ -149,6 +179,7 @@ def _figures(source: DataFrame, released: DataFrame, plans: list[ColumnPlan], or
     columns = [c for c in released.columns if c != order]
     parts = {c: uniqueness.projection(F.col(f"`{c}`"), p.kind, p.strategy, p.selected)[1] for p, c in zip(plans, columns, strict=True)}
     rows = uniqueness.projected(released, parts)
+    whole = uniqueness.summary(released.select(*[F.col(f"`{c}`") for c in columns])).first().asDict()
     matched = [r["col"] for r in uniqueness.matched_columns(rows).where("matched").collect()]
     summary = uniqueness.summary(rows.select(*matched)).first().asDict() if matched else {"rows_measured": released.count(), "distinct_classes": 0, "unique_rows": 0, "smallest_class": 0, "fifth_percentile_class_size": 0}
     effects = sorted(((r["unique_rows_without"], r["col"]) for r in uniqueness.leave_one_out(rows.select(*matched)).collect())) if len(matched) > 1 and summary["unique_rows"] else []
@@ -158,11 +189,11 @@ def _figures(source: DataFrame, released: DataFrame, plans: list[ColumnPlan], or
     residual = audit.residual(pairs, [f"s_{c}" for c in sensitive], columns).first().asDict() if sensitive else {"protected_values": 0, "released_values": 0, "overlap": 0}
     mapping = [c for p, c in zip(plans, columns, strict=True) if p.changes and distribution.ENTRIES[p.strategy]]
     stats = [r.asDict() for r in distribution.with_risk(distribution.distribution(source, mapping)).collect()] if mapping else []
-    return {"uniqueness": summary, "matched": matched, "effects": effects, "unchanged": same, "residual": residual, "distributions": stats}
+    return {"uniqueness": summary, "matched": matched, "effects": effects, "unchanged": same, "residual": residual, "distributions": stats, "classes": whole}
 
 
-def report(plans: list[ColumnPlan], figures: dict | None = None, coverage: tuple[int, int] | None = None, blockers: list[str] | None = None) -> dict:
-    """Readiness, evidence, columns, metrics and notes. After a run the status is never better than review: nothing here certifies anonymity."""
+def report(plans: list[ColumnPlan], figures: dict | None = None, coverage: tuple[int, int] | None = None, blockers: list[str] | None = None, replacements: told.Replacements | None = None, keyed: dict[str, int] | None = None, detection: dict | None = None) -> dict:
+    """Readiness, evidence, columns, metrics and notes. replacements: a plug-in's counts; keyed: column -> distinct values with keyed tokens; detection: see `review.detection_summary`. After a run the status is never better than review: nothing here certifies anonymity."""
     chosen = [p for p in plans if p.selected]
     left = [p.name for p in plans if not p.selected and profile.RANK[p.risk] > 0]
     evidence = [
@@ -175,25 +206,33 @@ def report(plans: list[ColumnPlan], figures: dict | None = None, coverage: tuple
     if figures:
         u, total = figures["uniqueness"], figures["uniqueness"]["rows_measured"]
         status = uniqueness.verdict(u, len(figures["matched"]))
-        share = "under 0.1%" if 0 < u["unique_rows"] < 0.0005 * total else f"{100 * u['unique_rows'] / max(total, 1):.1f}%"
+        share = told.unique_share(u["unique_rows"], total)
         evidence.append({"id": "row-uniqueness", "status": status, "detail": f"{u['unique_rows']} of {total} rows ({share}) are unique on {', '.join(figures['matched']) or 'no column'}; the smallest group has {u['smallest_class']}, a twentieth of the rows is in groups of {u['fifth_percentile_class_size']} or fewer."})
+        if figures.get("classes"):
+            notes.append(f"On all columns together, {figures['classes']['distinct_classes']} rows differ and {figures['classes']['unique_rows']} are unique.")
+        evidence += told.plugin_evidence(replacements, keyed)
         n = sum(figures["unchanged"].values())
         evidence.append({"id": "residual-unchanged-values", "status": "review" if n else "verified", "detail": f"{n} protected values came out as they were."})
         evidence.append({"id": "broad-residual-value-audit", "status": "review" if figures["residual"]["overlap"] else "verified", "detail": f"{figures['residual']['overlap']} of {figures['residual']['protected_values']} protected values occur somewhere in the release."})
         for e in evidence[2:]:
-            (review if e["status"] == "review" else verified).append(e["detail"])
+            if e["status"] != "info":
+                (review if e["status"] == "review" else verified).append(e["detail"])
         notes += [f"{d['col']}: frequencies may tell pseudonyms apart ({d['risk']})." for d in figures["distributions"] if d["risk"] != "none"]
         if figures["effects"]:
             notes.append(f"Without {figures['effects'][0][1]}, {figures['effects'][0][0]} rows would be unique.")
     if coverage and coverage[0] < coverage[1]:
         review.append(f"Detection read {coverage[0]} of {coverage[1]} rows.")
+    if detection and detection["reasons"]:
+        review.append(f"The detector {detection['detector']}: {', '.join(detection['reasons'])}.")
     review.append("Checks of this kind find what they look for; other ways to tell a person remain.")
+    reused = sum(d["total_values"] - d["distinct_values"] for d in (figures or {}).get("distributions", []))
     return {
         "status": "blocked" if blockers else "review", "blockers": blockers or [], "reviewItems": review, "verifiedItems": verified, "evidence": evidence, "notes": notes,
         "directIdentifiers": sum(p.kind in DIRECT for p in chosen), "quasiIdentifiers": sum(p.kind in QUASI for p in chosen),
         "strategies": {s: sum(p.strategy == s for p in chosen) for s in strategies.STRATEGIES},
         "columns": [{"index": p.index, "name": p.name, "selected": p.selected, "type": p.kind, "risk": p.risk, "strategy": p.strategy if p.selected else "released as it is", "status": "review" if not p.selected and profile.RANK[p.risk] > 0 else "ok"} for p in plans],
-        "metrics": [{"label": "selected columns", "value": len(chosen)}, {"label": "columns kept as they are", "value": len(plans) - len(chosen)}, {"label": "columns that change", "value": sum(p.changes for p in plans)}],
+        "metrics": [{"label": "selected columns", "value": len(chosen)}, {"label": "columns kept as they are", "value": len(plans) - len(chosen)}, {"label": "columns that change", "value": sum(p.changes for p in plans)}, *(told.plugin_metrics(replacements, reused) if figures else [])],
+        "detection": detection or told.detection_summary("disabled"),
     }
 
 
@@ -210,7 +249,7 @@ def preflight(plans: list[ColumnPlan], stats: DataFrame | None = None, rows: int
 
 def snapshot(plans: list[ColumnPlan], fingerprint: str) -> str:
     """An analysis as JSON with a checksum, to be used again for the same source only."""
-    body = json.dumps({"version": 3, "source": fingerprint, "columns": [asdict(p) for p in plans]}, sort_keys=True)
+    body = json.dumps({"version": 4, "source": fingerprint, "columns": [asdict(p) for p in plans]}, sort_keys=True)
     return json.dumps({"body": body, "checksum": hashlib.sha256(body.encode()).hexdigest()})
 
 
@@ -219,16 +258,18 @@ def restored(text: str, fingerprint: str) -> list[ColumnPlan]:
     if hashlib.sha256(outer["body"].encode()).hexdigest() != outer["checksum"]:
         raise ValueError("the snapshot was changed")
     body = json.loads(outer["body"])
-    if body["source"] != fingerprint or body["version"] != 3:
+    if body["source"] != fingerprint or body["version"] != 4:
         raise ValueError("the snapshot is of another source")
-    return [ColumnPlan(**c) for c in body["columns"]]
+    plans = [ColumnPlan(**c | {"evidence": [tuple(e) for e in c["evidence"]]}) for c in body["columns"]]
+    told.checked_structure(plans, [], set(), told.detection_summary("disabled"))
+    return plans
 
 
 def analyze_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[ColumnPlan]]:
     csvfile.validated(spark, path)
     rows = csvfile.scan(spark, path)
     columns = [c for c in rows.columns if c != "row_idx"]
-    return rows, planned(rows.where(~csvfile.is_blank_row(columns)).select(*columns), csvfile.headers(spark, path))
+    return rows, planned(rows.where(~csvfile.is_blank_row(columns)), csvfile.headers(spark, path), "row_idx")
 
 
 def preview(rows: DataFrame, plans: list[ColumnPlan], seed: Column, n: int = 5, order: str = "row_idx") -> list[dict]:

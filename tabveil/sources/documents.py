@@ -274,3 +274,13 @@ def as_rows(fields: DataFrame, key: str) -> DataFrame:
 def placed(fields: DataFrame, by: list[str], order: str) -> DataFrame:
     """Running 0-based place within each group of `by` (a path of a document)."""
     return fields.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+
+
+def row_count(value: object) -> int:
+    """How many rows a parsed JSON or YAML value holds: the items of a list, none of null, else one."""
+    return len(value) if isinstance(value, list) else 0 if value is None else 1
+
+
+def row_counts(fields: DataFrame, key: str) -> DataFrame:
+    """(key, rows): how many rows each XML document holds: the most values that one of its paths has."""
+    return fields.groupBy(key, "path").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("rows"))
