@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabveil.functions import values as V
 from tabveil.operators import audit, distribution, profile, sampling, spans, strategies, uniqueness
 from tabveil.sources import csvfile, documents, quick
+from tabveil.sources.splits import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +38,7 @@ def _cells_sql(tables: dict[str, list[str]]) -> str:
 
 
 def _cells(spark: SparkSession, folder: str, tables: dict[str, list[str]]) -> DataFrame:
-    parts = [distribution.long_form(table(spark, folder, t), cs) for t, cs in tables.items()]
+    parts = [distribution.long_form(dealt(table(spark, folder, t)), cs) for t, cs in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -102,7 +103,7 @@ def q_identity_key(spark, folder):
 def _stats(spark: SparkSession, folder: str) -> DataFrame:
     out = None
     for t, cs in STRINGS.items():
-        one = distribution.distribution(table(spark, folder, t), cs)
+        one = distribution.distribution(dealt(table(spark, folder, t)), cs)
         out = one if out is None else out.union(one)
     return out
 
@@ -201,7 +202,7 @@ _SPAN_RE = {"email": r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", "ip": rf"
 
 @query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{b}')) AS BIGINT) AS n_{k}" for k, b in _SPAN_RE.items()) + " FROM documents")
 def q_span_counts(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", *[F.regexp_count("text", F.lit(b)).cast("long").alias(f"n_{k}") for k, b in _SPAN_RE.items()])
+    return dealt(table(spark, folder, "documents")).select("doc_id", *[F.regexp_count("text", F.lit(b)).cast("long").alias(f"n_{k}") for k, b in _SPAN_RE.items()])
 
 
 @query(r"""WITH r AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '\b\d(?:[ -]?\d){12,18}\b')), '[^0-9]', '', 'g') AS d FROM documents),
@@ -214,19 +215,19 @@ def q_card_luhn(spark, folder):
 
 @query(None)
 def q_span_select(spark, folder):
-    return spans.spans(table(spark, folder, "documents"), "doc_id", "text")
+    return spans.spans(dealt(table(spark, folder, "documents")), "doc_id", "text")
 
 
 @query(None)
 def q_evidence_summary(spark, folder):
-    return spans.evidence(spans.spans(table(spark, folder, "documents"), "doc_id", "text"), "doc_id")
+    return spans.evidence(spans.spans(dealt(table(spark, folder, "documents")), "doc_id", "text"), "doc_id")
 
 
 @query(r"""WITH c AS (SELECT value FROM """ + _EDGE_SQL + r""" UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents),
  f AS (SELECT value, NOT (regexp_matches(trim(value), '^[+-][0-9]*\.?[0-9]*$') AND length(trim(value)) > 1) AND regexp_matches(value, '^(?:[\t\r\n]|\s*[=+\-@＝＋－＠])') AS bad FROM c)
  SELECT CASE WHEN bad THEN '''' || value ELSE value END AS cell, bad, count(*) AS n FROM f GROUP BY ALL""")
 def q_neutralize(spark, folder):
-    cells = _edge(spark).union(table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("value")))
+    cells = _edge(spark).union(dealt(table(spark, folder, "documents")).select(F.explode(F.split("text", "\n")).alias("value")))
     return cells.select(V.neutralized(F.col("value")).alias("cell"), V.could_be_formula(F.col("value")).alias("bad")).groupBy("cell", "bad").agg(F.count("*").alias("n"))
 
 
@@ -253,7 +254,7 @@ _TS = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"
  SELECT o_orderkey, strftime(CAST(substr(v, 1, 10) AS DATE) + CASE WHEN up THEN d ELSE -d END, '%Y-%m-%d') || substr(v, 11) AS released FROM c""")
 def q_timestamp_shift(spark, folder):
     v = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-    return table(spark, folder, "orders").select("o_orderkey", strategies.timestamp(v, _seed()).alias("released"))
+    return dealt(table(spark, folder, "orders")).select("o_orderkey", strategies.timestamp(v, _seed()).alias("released"))
 
 
 @query(f"""WITH a AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS v FROM orders),
@@ -262,7 +263,7 @@ def q_timestamp_shift(spark, folder):
  SELECT o_orderkey, CASE WHEN r = v THEN substr(r, 1, 8) || CASE WHEN r[9] = '9' THEN '1' ELSE CAST(CAST(r[9] AS INT) + 1 AS VARCHAR) END ELSE r END AS released FROM c""")
 def q_numeric_shape(spark, folder):
     v = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
-    return table(spark, folder, "orders").select("o_orderkey", strategies.numeric_id(v, _seed()).alias("released"))
+    return dealt(table(spark, folder, "orders")).select("o_orderkey", strategies.numeric_id(v, _seed()).alias("released"))
 
 
 @query(f"""WITH b AS (SELECT c_custkey, sha256('{SEED}' || chr(1) || 'uuid' || chr(1) || CAST(c_custkey AS VARCHAR)) AS h FROM customer)
@@ -289,7 +290,7 @@ def q_name_mapping(spark, folder):
 
 def _projected(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer's segment, as released: priority and status whole, date shifted, key masked, price redrawn."""
-    o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = dealt(table(spark, folder, "orders")).join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     date = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     price = F.floor("o_totalprice").cast("long").cast("string")
     p = uniqueness.projection
@@ -361,7 +362,7 @@ def q_overlap_antijoin(spark, folder):
 
 @query("SELECT event_id, 'json/k:k' AS path, 'k' AS label, json_extract_string(props, '$.k') AS value FROM events")
 def q_json_flatten(spark, folder):
-    return documents.flattened(table(spark, folder, "events"), "event_id", "props", "json").select("event_id", "path", "label", "value")
+    return documents.flattened(dealt(table(spark, folder, "events")), "event_id", "props", "json").select("event_id", "path", "label", "value")
 
 
 @query(rf"SELECT doc_id, sha256(regexp_replace(text, '{_SPAN_RE['email']}', '[EMAIL]', 'g')) AS released FROM documents")
@@ -371,7 +372,7 @@ def q_text_splice(spark, folder):
 
 @query(None)
 def q_html_spans(spark, folder):
-    return spans.evidence(spans.spans(table(spark, folder, "pages"), "page_id", "html"), "page_id")
+    return spans.evidence(spans.spans(dealt(table(spark, folder, "pages")), "page_id", "html"), "page_id")
 
 
 @query(None)
@@ -424,7 +425,7 @@ def q_blank_rows(spark, folder):
 
 def _wide(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer as a table of strings of seven columns, in the order of o_orderkey."""
-    o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = dealt(table(spark, folder, "orders")).join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     mail = F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@mail"), (F.col("c_custkey") % 7).cast("string"), F.lit(".test"))
     return o.select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("order_id"), "c_name", mail.alias("email"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), F.floor("o_totalprice").cast("string").alias("total"), "o_orderpriority", "c_mktsegment")
 
@@ -482,14 +483,14 @@ def q_checksum_votes(spark, folder):
 
 @query(None)
 def q_documents_as_rows(spark, folder):
-    fields = documents.flattened(table(spark, folder, "events"), "event_id", "props", "json")
+    fields = documents.flattened(dealt(table(spark, folder, "events")), "event_id", "props", "json")
     return documents.as_rows(fields, "event_id")
 
 
 @query(None)
 def q_text_rewrite(spark, folder):
     """Documents with the spans of their text replaced by markers, by joining released values back to their document."""
-    docs = table(spark, folder, "documents").where("text is not null")
+    docs = dealt(table(spark, folder, "documents")).where("text is not null")
     fields = documents.flattened(docs, "doc_id", "text", "text")
     released = fields.select("doc_id", "path", "value", F.concat(F.lit("["), F.upper("label"), F.lit("]")).alias("output")).distinct()
     return documents.rewritten(docs, "doc_id", "text", "text", released).select("doc_id", F.sha2(F.col("content").cast("binary"), 256).alias("released"))
