@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -153,6 +152,3 @@ def applied(df: DataFrame, column: str, known: DataFrame, fallback: str) -> Data
     rows = df.withColumn("_k", k).join(known.select(F.col("key").alias("_k"), F.col("output").alias("_o")), "_k", "left")
     return rows.withColumn(column, F.coalesce("_o", fallback)).drop("_k", "_o")
 
-
-def iterate(values: Iterator[str]) -> list[str]:
-    return sorted(set(values))
